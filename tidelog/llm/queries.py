@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.llm.glyphs import consistent_text, look_alike_pairs
+from tidelog.llm.leaks import leaks
 from tidelog.llm.ledger import KeyLedger
 from tidelog.llm.survivor import Bundle, known, survivors, survivors_by_id
+from tidelog.llm.tokens import encode
 from tidelog.operators.compaction import resolve_runs
 from tidelog.operators.joins import lookup_join
 from tidelog.sources.tables import table
@@ -78,7 +81,27 @@ def p4_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_records, p4_found, p4_error_rate)}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return look_alike_pairs(table(spark, sf_dir, "documents"))
+
+
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every text."""
+    return consistent_text(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p3_found, p3_records, p4_found, p4_error_rate, p6_ids, p7_found, p8_found, p8_forms)
+}
 
 _LEVELS = r"""l as (select run_id, max(level) as level from table_handles
   where regexp_matches(lower(trim(file_name)), '\.sst$') group by run_id),
