@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
 
 # Letters of the same shape, as (Latin, Cyrillic, Greek); "-" for none.
 LOOK_ALIKES = """
@@ -70,16 +69,11 @@ SEEN_CF = {0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, *range(0x0600, 0x0606)}
 SCRIPTS = "LCG"
 
 
-@lru_cache(maxsize=None)
-def classes() -> dict[str, dict[str, str]]:
-    """Letter -> the members of its class by script."""
-    out = {}
-    for line in LOOK_ALIKES.split("\n"):
-        if line:
-            members = {s: c for s, c in zip(SCRIPTS, line.split()) if c != "-"}
-            for c in members.values():
-                out[c] = members
-    return out
+#: Letter -> the members of its class by script.
+CLASSES: dict[str, dict[str, str]] = {}
+for _line in LOOK_ALIKES.strip().split("\n"):
+    _members = {s: c for s, c in zip(SCRIPTS, _line.split()) if c != "-"}
+    CLASSES.update({c: _members for c in _members.values()})
 
 
 def script(c: str) -> str | None:
@@ -96,7 +90,6 @@ def script(c: str) -> str | None:
     return None
 
 
-@lru_cache(maxsize=None)
 def _table(fold: bool) -> dict[int, str | None]:
     """The translation of a decomposed text, made from the character database."""
     table: dict[int, str | None] = {}
@@ -105,7 +98,7 @@ def _table(fold: bool) -> dict[int, str | None]:
         cat = unicodedata.category(c)
         if cat == "Zs" or c == "\t":
             table[o] = " "
-        elif c in "\r\v\f\x85  ":
+        elif c in "\r\v\f\x85\u2028\u2029":
             table[o] = "\n"
         elif (cat == "Cf" and o not in SEEN_CF) or (cat == "Cc" and c != "\n") or 0xFE00 <= o < 0xFE10 or 0xE0100 <= o < 0xE01F0:
             table[o] = None
@@ -114,11 +107,13 @@ def _table(fold: bool) -> dict[int, str | None]:
     table.update({o: None for o in UNSEEN})
     table.update({ord(c): t for c, t in TWINS.items()})
     if fold:
-        for c, members in classes().items():
+        for c, members in CLASSES.items():
             table[ord(c)] = next(members[s] for s in SCRIPTS if s in members)
     return {o: t for o, t in table.items() if t != chr(o)}
 
 
+_CLEAN, _FOLD = _table(False), _table(True)
+
 #: Texts without a character of this class are their own clean form and hold nothing
 #: but Latin letters, kana and ideographs.
 _UNSAFE = re.compile(
@@ -138,7 +133,7 @@ def clean(text: str) -> str:
         return text
     if "\r" in text:
         text = text.replace("\r\n", "\n")
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_table(False)))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_CLEAN))
 
 
 def fold(text: str) -> str:
@@ -147,4 +142,4 @@ def fold(text: str) -> str:
         return text
     if "\r" in text:
         text = text.replace("\r\n", "\n")
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_table(True)))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_FOLD))

@@ -35,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.forms import SCRIPTS, classes, clean, plain, script
+from tidelog.llm.forms import CLASSES, SCRIPTS, clean, plain, script
 from tidelog.operators.joins import lookup_join
 from tidelog.storage.workspace import new_folder
 
-TOKEN = re.compile("(?:[^\\W\\d_][̀-ͯ]*)+")
+TOKEN = re.compile("(?:[^\\W\\d_][\u0300-\u036f]*)+")
 #: Tokens kept by a task before they are handed on.
 BLOCK_TOKENS = 200_000
 
@@ -56,10 +56,9 @@ def _digest(text: str) -> bytes:
 
 def _votes(letters: Counter) -> str | None:
     """The script of most letters without a look-alike; None if there are none."""
-    same = classes()
     votes = Counter()
     for c, n in letters.items():
-        if c not in same:
+        if c not in CLASSES:
             s = script(c)
             if s:
                 votes[s] += n
@@ -70,10 +69,9 @@ def propose(token: str, context: str) -> str:
     """The token with its look-alike letters in its dominant script."""
     bare = unicodedata.normalize("NFD", token)
     own = _votes(Counter(bare)) or context
-    same = classes()
     out = []
     for c in bare:
-        members = same.get(c)
+        members = CLASSES.get(c)
         if members and script(c) != own:
             c = members[own] if own in members else next(members[s] for s in SCRIPTS if s in members)
         out.append(c)

@@ -69,39 +69,37 @@ def window_minima(s: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-class ItemIndex:
+def build_index(items: list[tuple[int, list[str]]], min_words: int = MIN_WORDS, shingle: int = SHINGLE) -> dict:
     """The windows of a block of items by (size of their shingle set, MinHash)."""
-
-    def __init__(self, items: list[tuple[int, list[str]]], min_words: int = MIN_WORDS, shingle: int = SHINGLE):
-        self.min_words, self.shingle, self.items = min_words, shingle, items
-        width = min_words - shingle + 1
-        at: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(items):
-            if len(words) < min_words:
-                continue
-            s = shingles(np.array([word_hash(w) for w in words], np.uint64), shingle)
-            for i, m in enumerate(window_minima(s, width).tolist()):
-                at[len(set(s[i : i + width].tolist())), m].append((k, i))
-        self.at = dict(at)
-        self.minima = np.unique(np.array([m for _, m in at], np.uint64))
-
-    def search(self, words: list[str], hashes: np.ndarray) -> set[int]:
-        """Ids of the items of which the words hold a window."""
-        n, found = self.min_words, set()
-        if len(words) < n or not len(self.minima):
-            return found
-        width = n - self.shingle + 1
-        s = shingles(hashes, self.shingle)
-        m = window_minima(s, width)
-        where = np.searchsorted(self.minima, m)
-        where[where == len(self.minima)] = 0
-        for i in np.flatnonzero(self.minima[where] == m).tolist():
-            window = words[i : i + n]
-            for k, j in self.at.get((len(set(s[i : i + width].tolist())), int(m[i])), ()):
-                item, theirs = self.items[k]
-                if item not in found and theirs[j : j + n] == window:
-                    found.add(item)
+    width = min_words - shingle + 1
+    at: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for k, (_, words) in enumerate(items):
+        if len(words) < min_words:
+            continue
+        s = shingles(np.array([word_hash(w) for w in words], np.uint64), shingle)
+        for i, m in enumerate(window_minima(s, width).tolist()):
+            at[len(set(s[i : i + width].tolist())), m].append((k, i))
+    minima = np.unique(np.array([m for _, m in at], np.uint64))
+    return {"min_words": min_words, "shingle": shingle, "items": items, "at": dict(at), "minima": minima}
+
+
+def search(index: dict, words: list[str], hashes: np.ndarray) -> set[int]:
+    """Ids of the items of which the words hold a window."""
+    n, minima, found = index["min_words"], index["minima"], set()
+    if len(words) < n or not len(minima):
         return found
+    width = n - index["shingle"] + 1
+    s = shingles(hashes, index["shingle"])
+    m = window_minima(s, width)
+    where = np.searchsorted(minima, m)
+    where[where == len(minima)] = 0
+    for i in np.flatnonzero(minima[where] == m).tolist():
+        window = words[i : i + n]
+        for k, j in index["at"].get((len(set(s[i : i + width].tolist())), int(m[i])), ()):
+            item, theirs = index["items"][k]
+            if item not in found and theirs[j : j + n] == window:
+                found.add(item)
+    return found
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
@@ -118,14 +116,14 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: ItemIndex = shared.value
+        index = shared.value
         known: dict[str, int] = {}
         for batch in batches:
             docs, items = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found: set[int] = set()
                 for words in word_streams(text):
-                    if len(words) < index.min_words:
+                    if len(words) < index["min_words"]:
                         continue
                     try:
                         h = [known[w] for w in words]
@@ -136,7 +134,7 @@ def _search(shared):
                             if w not in known:
                                 known[w] = word_hash(w)
                         h = [known[w] for w in words]
-                    found |= index.search(words, np.array(h, np.uint64))
+                    found |= search(index, words, np.array(h, np.uint64))
                 docs += [doc_id] * len(found)
                 items += sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
@@ -158,7 +156,7 @@ def leaks(
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     out = None
     for block in _blocks(items, item_id, text_col):
-        shared = spark.sparkContext.broadcast(ItemIndex(block, min_words, shingle))
+        shared = spark.sparkContext.broadcast(build_index(block, min_words, shingle))
         found = rows.mapInArrow(_search(shared), "doc_id bigint, item_id bigint")
         out = found if out is None else out.unionByName(found)
     return out.distinct()

@@ -28,7 +28,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +45,9 @@ BLOCK_CHARS = 6_000_000
 REPLAY_WORDS = 200_000
 
 # White space as the tokenizer's pattern knows it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-@lru_cache(maxsize=None)
 def word_pattern() -> re.Pattern:
     """The split of byte-level BPE: contractions, and runs of letters, of numbers or of
     other signs with one blank before them, and runs of white space."""
@@ -185,8 +183,8 @@ _SPLIT_ARROW = pa.schema(
 )
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    findall = word_pattern().findall
+def _split(batches: Iterator[pa.RecordBatch], pattern: re.Pattern) -> Iterator[pa.RecordBatch]:
+    findall = pattern.findall
     context = TaskContext.get()
     block = (context.partitionId() if context else 0) << 24
     numbers: dict[str, int] = {}
@@ -261,13 +259,14 @@ def encode(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json",
     """(id, ids): the token ids of every text."""
     spark = docs.sparkSession
     path = new_folder(spark, "tokens")
+    pattern = word_pattern()
     (
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-        .mapInArrow(_split, _SPLIT).write.partitionBy("kind").parquet(path)
+        .mapInArrow(lambda batches: _split(batches, pattern), _SPLIT).write.partitionBy("kind").parquet(path)
     )
-    table = spark.read.schema(_SPLIT).option("basePath", path).parquet(path)
-    texts = table.where("kind = 0").select("block", "doc_id", "numbers")
-    words = table.where("kind = 1").select("block", "no", "word")
+    read = lambda kind: spark.read.schema(_SPLIT).option("basePath", path).parquet(path).where(F.col("kind") == kind)
+    texts = read(0).select("block", "doc_id", "numbers")
+    words = read(1).select("block", "no", "word")
 
     # 50k merges: of fixed size, whatever the corpus
     shared = spark.sparkContext.broadcast(load_merges(vocabulary))

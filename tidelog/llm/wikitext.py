@@ -18,8 +18,8 @@ import re
 from tidelog.llm.forms import fold
 
 WORD = re.compile(r"[^\W_]+")
-WORD_WITH_MARKS = re.compile("(?:[^\\W_][̀-ͯ]*)+")
-_MARK = re.compile("[̀-ͯ]")
+WORD_WITH_MARKS = re.compile("(?:[^\\W_][\u0300-\u036f]*)+")
+_MARK = re.compile("[\u0300-\u036f]")
 
 _COMMENT = re.compile(r"<!--(.*?)-->", re.S)
 _EMPTY_REF = re.compile(r"<ref\b[^<>]*/\s*>")
