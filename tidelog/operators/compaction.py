@@ -123,8 +123,9 @@ class Compactor:
             group, merged = full, full < F.floor(F.col("count") / self.fan_in)
         grouped = ranked.withColumn("group", group).withColumn("merged", merged)
         of = Window.partitionBy("store_id", "shard", "group")
-        #: Ids of outputs are negative, so they never meet those of runs on disk.
-        made = -F.abs(F.xxhash64(F.lit(tier), "store_id", F.min("run_id").over(of), F.max("run_id").over(of), F.sum("run_id").over(of)))
+        # Ids of outputs are negative, so they never meet those of runs on disk.
+        named = F.xxhash64(F.lit(tier), "store_id", F.min("run_id").over(of), F.max("run_id").over(of), F.bit_xor("run_id").over(of))
+        made = -named.bitwiseAND(F.lit((1 << 62) - 1)) - 1
         journal = grouped.withColumn("made", made).select(
             F.lit(tier).alias("tier"),
             F.when(F.col("merged"), F.col("made")).alias("txn_id"),
