@@ -75,10 +75,11 @@ class IncrementalReader:
         held = self.store.read()
         return self.spark.read.parquet(f"{self.path}/{held['watermark']}") if held else None
 
-    def run(self, source: DataFrame, commit: bool = True) -> DataFrame:
+    def run(self, source: DataFrame, upper: DataFrame | None = None, commit: bool = True) -> DataFrame:
         """Process everything after the watermarks up to the limit fixed now, and
-        return the committed output. ``commit=False`` stops before publishing, as a
-        failing run would (for tests)."""
+        return the committed output. ``upper``: one row with the limit, where it is cheaper
+        to get than the greatest position of the source. ``commit=False`` stops before
+        publishing, as a failing run would (for tests)."""
         held = self.store.read()
         version = (held["version"] if held else 0) + 1
         old = (
@@ -87,7 +88,7 @@ class IncrementalReader:
             else self.spark.createDataFrame([], "store_id bigint, watermark timestamp_ntz")
         )
         kind = dict(source.dtypes)["position"]
-        upper = source.agg(F.max("position")).first()[0]
+        upper = (source.agg(F.max("position")) if upper is None else upper).first()[0]
         bounded = source if upper is None else source.where(
             F.col("position").isNull() | (F.col("position") <= F.lit(upper).cast(kind))
         )

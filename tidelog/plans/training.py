@@ -69,7 +69,8 @@ def p2_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     reader = IncrementalReader(spark, new_folder(spark, "incremental"))
     reader.seed(last_success(table(spark, sf_dir, "flush_attempts")))
-    return reader.run(mutations_by_arrival(table(spark, sf_dir, "mutation_log"))).select("store_id", "seq_no")
+    log = table(spark, sf_dir, "mutation_log")
+    return reader.run(mutations_by_arrival(log), log.agg(F.max("arrived_at"))).select("store_id", "seq_no")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_in_batches, p2_found, p2_entries, p2_outputs, p5_found)}
