@@ -49,3 +49,10 @@ def lookup_join(
         .join(salted, [*on, "_salt"], how)
         .drop("_salt")
     )
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out to all cores if its files give it far fewer partitions: one large
+    row group would else keep a costly step on one core. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
