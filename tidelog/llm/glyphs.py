@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.forms import CLASSES, SCRIPTS, clean, plain, script
-from tidelog.operators.joins import lookup_join
+from tidelog.operators.joins import lookup_join, spread
 from tidelog.storage.workspace import new_folder
 
 TOKEN = re.compile("(?:[^\\W\\d_][\u0300-\u036f]*)+")
@@ -146,7 +146,7 @@ class Analysis:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         spark = docs.sparkSession
         path = new_folder(spark, "glyphs")
-        found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_analyse, _OUT)
+        found = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(_analyse, _OUT)
         hashed = F.transform(
             "mixed", lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["s"]).alias("s"), F.xxhash64(x["p"]).alias("p"), x["s"].alias("spelling"))
         )
@@ -221,6 +221,6 @@ def consistent_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             forms = [None if t is None else repair(t, frozenset(k or ()), cache)[0] for t, k in zip(texts, kept)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], names=[id_col, "form"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
     joined = lookup_join(rows, spelled, ["doc_id"], "left", name="spelled").select("doc_id", "text", "rejected")
     return joined.mapInArrow(rewrite, f"{id_col} bigint, form string")

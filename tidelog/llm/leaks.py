@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.wikitext import word_streams
+from tidelog.operators.joins import spread
 
 MIN_WORDS = 10
 SHINGLE = 5
@@ -153,7 +154,7 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id): documents that hold ``min_words`` consecutive words of an item."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"))
     out = None
     for block in _blocks(items, item_id, text_col):
         shared = spark.sparkContext.broadcast(build_index(block, min_words, shingle))

@@ -35,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.joins import spread
 from tidelog.storage.workspace import new_folder
 
 #: Where the vocabulary files of public tokenizers lie.
@@ -261,7 +262,7 @@ def encode(docs: DataFrame, vocabulary: str = f"{TOKENIZERS}/byte_bpe_50k.json",
     path = new_folder(spark, "tokens")
     pattern = word_pattern()
     (
-        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+        spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
         .mapInArrow(lambda batches: _split(batches, pattern), _SPLIT).write.partitionBy("kind").parquet(path)
     )
     read = lambda kind: spark.read.schema(_SPLIT).option("basePath", path).parquet(path).where(F.col("kind") == kind)
