@@ -2,9 +2,9 @@
 
 ``word_streams`` gives one or more sequences of words. The first is the page with
 markup, hidden link targets, notes and comments taken out and values of template
-parameters and table cells left in. Short templates are notes in some places and text in
-others, so where there are any, a second sequence leaves them out too. Notes and comments
-follow as sequences of their own, so that what they hold isn't lost.
+parameters and table cells left in; templates that are notes by their name count as
+notes. Notes and comments follow as sequences of their own, so that what they hold isn't
+lost.
 
 Defined results: broken markup (a comment, note, link or template that isn't closed) is
 treated as text with its signs dropped; null and empty texts give no words.
@@ -25,10 +25,8 @@ _COMMENT = re.compile(r"<!--(.*?)-->", re.S)
 _EMPTY_REF = re.compile(r"<ref\b[^<>]*/\s*>")
 _REF = re.compile(r"<ref\b[^<>]*>(.*?)</ref\s*>", re.S)
 _SUP_NOTE = re.compile(r"<sup\b[^<>]*>\s*\[[^\[\]<>]*\]\s*</sup\s*>")
-_TEMPLATE = re.compile(r"\{\{([^{}]*)\}\}")
-_PARAMETER = re.compile(r"\{\{\{[^{}|]*\|?([^{}]*)\}\}\}")
-_LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
-_EXTERNAL = re.compile(r"\[(?:https?:)?//\S*\s*([^\[\]]*)\]|https?://[^\s\]<>|]+")
+_PARAMETER = re.compile(r"\{\{\{[^{}|]*+(?:\|([^{}]*+))?\}\}\}")
+_EXTERNAL = re.compile(r"\[(?:https?:)?//[^\s\[\]]*+\s*+([^\[\]]*+)\]|https?://[^\s\[\]<>|]++")
 _NAMED = re.compile(r"^\s*[^=\n]{0,60}?=")
 _BREAK_TAG = re.compile(r"</?(?:br|div|p|li|ul|ol|tr|td|th|table|gallery|hr|blockquote|center|h[1-6]|dd|dt|dl|poem|pre)\b[^<>]*>")
 _INLINE_TAG = re.compile(r"</?[a-z][a-z0-9]*\b[^<>]*>")
@@ -41,17 +39,19 @@ _SWITCH = re.compile(r"__[a-z]+__")
 # Templates that are notes on the words before them.
 NOTES = {
     "citation needed", "cn", "fact", "dubious", "clarify", "when", "who", "which", "by whom", "according to whom", "vague",
-    "page needed", "failed verification", "better source needed", "unreliable source?", "original research inline", "sic",
+    "page needed", "full citation needed", "clarification needed", "weasel inline", "specify", "update inline", "failed verification", "better source needed", "unreliable source?", "original research inline", "sic",
     "refn", "efn", "sfn", "rp", "note", "p.", "pp.",
 }
 _FILE = ("file:", "image:", "datei:", "bild:", "fichier:", "archivo:", "imagen:", "media:")
 _HIDDEN = ("category:", "kategorie:", "catégorie:", "categoría:")
-#: Templates whose values have at most so many words are left out of the second sequence.
-SHORT = 3
 
 
-def _link(m: re.Match) -> str:
-    target, bar, label = m[1].partition("|")
+#: Links and templates nested deeper than this are read as text with their signs dropped.
+DEPTH = 40
+
+
+def _link(body: str) -> str:
+    target, bar, label = body.partition("|")
     name = target.strip().lstrip(":")
     if name.startswith(_FILE):
         return " " + label.rpartition("|")[2] + " " if bar else " "
@@ -60,18 +60,54 @@ def _link(m: re.Match) -> str:
     return label if bar and label.strip() else target
 
 
-def _unnest(text: str, pattern: re.Pattern, put) -> str:
-    """Replace innermost matches until none is left."""
-    while True:
-        text, n = pattern.subn(put, text)
-        if not n:
-            return text
+def _nested(text: str, signs: re.Pattern, opening: str, put) -> str:
+    """Replace bracketed parts from the inside out, in one pass; signs without a partner
+    become blanks."""
+    stack: list[list[str]] = [[]]
+    deeper = 0
+    for part in signs.split(text):
+        if part == opening:
+            if len(stack) > DEPTH:
+                deeper += 1
+                stack[-1].append(" ")
+            else:
+                stack.append([])
+        elif part == _CLOSING[opening]:
+            if deeper or len(stack) == 1:
+                deeper = max(0, deeper - 1)
+                stack[-1].append(" ")
+            else:
+                body = "".join(stack.pop())
+                stack[-1].append(put(body))
+        else:
+            stack[-1].append(part)
+    return " ".join("".join(s) for s in stack)
+
+
+_CLOSING = {"[[": "]]", "{{": "}}"}
+_LINK_SIGNS, _TEMPLATE_SIGNS = re.compile(r"(\[\[|\]\])"), re.compile(r"(\{\{|\}\})")
+
+
+def _closed(text: str, end: str, pattern: re.Pattern, put) -> str:
+    """Replace up to the last ``end``: openings after it are never closed, and looking for
+    their end each time would take quadratic time."""
+    cut = text.rfind(end)
+    if cut < 0:
+        return text
+    cut = text.find(">", cut) + 1 or len(text)
+    return pattern.sub(put, text[:cut]) + text[cut:]
 
 
 def _values(body: str) -> list[str]:
     return [_NAMED.sub("", part, count=1) for part in body.split("|")[1:]]
 
 
+def _template(body: str) -> str:
+    if body.partition("|")[0].strip() in NOTES:
+        return ""
+    return " " + " ".join(_values(body)) + " "
+
+
 def _finish(text: str) -> list[str]:
     if "<" in text:
         text = _INLINE_TAG.sub("", _BREAK_TAG.sub(" ", text))
@@ -92,9 +128,9 @@ def word_streams(text: str | None) -> list[list[str]]:
         return ""
 
     if "<" in text:
-        text = _COMMENT.sub(aside, text)
+        text = _closed(text, "-->", _COMMENT, aside)
         text = _EMPTY_REF.sub("", text)
-        text = _REF.sub(aside, text)
+        text = _closed(text, "</ref", _REF, aside)
         text = _SUP_NOTE.sub("", text)
         if "<gallery" in text:
             text = _GALLERY_FILE.sub("", text)
@@ -103,35 +139,20 @@ def word_streams(text: str | None) -> list[list[str]]:
     if "{|" in text or "|-" in text:
         text = _CELL_STYLE.sub(r"\1 ", _TABLE_LINE.sub(" ", text))
     if "[[" in text:
-        text = _unnest(text, _LINK, _link)
+        text = _nested(text, _LINK_SIGNS, "[[", _link)
     if "//" in text:
         text = _EXTERNAL.sub(lambda m: " " + (m[1] or "") + " ", text)
     if "__" in text:
         text = _SWITCH.sub(" ", text)
-    streams = []
     if "{{" in text:
-        if "{{{" in text:
-            text = _unnest(text, _PARAMETER, lambda m: m[1])
-        short = False
-
-        def fill(m: re.Match) -> str:
-            nonlocal short
-            if m[1].partition("|")[0].strip() in NOTES:
-                return ""
-            values = " ".join(_values(m[1]))
-            short = short or len(WORD.findall(values)) <= SHORT
-            return " " + values + " "
-
-        def fill_long(m: re.Match) -> str:
-            values = " ".join(_values(m[1]))
-            return " " + values + " " if len(WORD.findall(values)) > SHORT else ""
-
-        full = _unnest(text, _TEMPLATE, fill)
-        streams.append(_finish(full))
-        if short:
-            streams.append(_finish(_unnest(text, _TEMPLATE, fill_long)))
-    else:
-        streams.append(_finish(text))
+        for _ in range(DEPTH):
+            if "{{{" not in text:
+                break
+            text, n = _PARAMETER.subn(lambda m: m[1] or "", text)
+            if not n:
+                break
+        text = _nested(text, _TEMPLATE_SIGNS, "{{", _template)
+    streams = [_finish(text)]
     for a in asides:
         if len(a) > 20:
             streams += word_streams(a)
