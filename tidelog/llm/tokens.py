@@ -184,6 +184,19 @@ _SPLIT_ARROW = pa.schema(
 )
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Word numbers in two bytes each where they fit, else four; the first byte tells."""
+    if not len(numbers) or int(numbers.max()) < 1 << 16:
+        return b"\x02" + numbers.astype(np.uint16).tobytes()
+    return b"\x04" + numbers.tobytes()
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    if len(raw) < 2:
+        return np.zeros(0, np.int64)
+    return np.frombuffer(raw, np.uint16 if raw[0] == 2 else np.int32, offset=1).astype(np.int64)
+
+
 def _split(batches: Iterator[pa.RecordBatch], pattern: re.Pattern) -> Iterator[pa.RecordBatch]:
     findall = pattern.findall
     context = TaskContext.get()
@@ -217,7 +230,7 @@ def _split(batches: Iterator[pa.RecordBatch], pattern: re.Pattern) -> Iterator[p
                         known = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words))
                         seen[chunk] = known
                     parts.append(known)
-                rows.append((np.concatenate(parts) if parts else none).tobytes())
+                rows.append(_pack(np.concatenate(parts) if parts else none))
                 held += len(text)
             n = i - first
             yield pa.RecordBatch.from_arrays(
@@ -244,7 +257,7 @@ def _give(docs: pa.Table, words: pa.Table) -> pa.Table:
     starts, sizes = offsets[:-1][order].astype(np.int64), np.diff(offsets)[order].astype(np.int64)
     out, ends, at = [], [0], 0
     for raw in docs.column("numbers").to_pylist():
-        w = np.frombuffer(raw, np.int32)
+        w = _unpack(raw)
         if len(w):
             size = sizes[w]
             total = np.cumsum(size)
