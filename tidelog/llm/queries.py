@@ -18,7 +18,9 @@ from tidelog.storage.workspace import new_folder
 
 def _ranked_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = resolve_runs(table(spark, sf_dir, "table_handles")).select("run_id", F.coalesce("level", F.lit(-1)).alias("level"))
-    entries = table(spark, sf_dir, "run_entries")
+    entries = table(spark, sf_dir, "run_entries").select(
+        "entry_id", "run_id", "store_id", "key", "value", "seq_no", "tombstone", "value_type", "writer"
+    )
     return lookup_join(entries, levels, ["run_id"], "left", spread="entry_id", name="levels").withColumn(
         "level", F.coalesce("level", F.lit(-1))
     )
