@@ -81,3 +81,25 @@ def test_against_brute_force(spark, monkeypatch, block):
     got = [tuple(r) for r in L.leaks(df, it).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(docs, items)
     assert L.leaks(df.where("doc_id < 0"), it).count() == 0 and L.leaks(df, it.where("item_id < 0")).count() == 0
+
+
+RUSSIAN = "Водяная мельница на берегу реки стоит там много лет подряд"
+GREEK = "Την παλιά γέφυρα στον ποταμό έχτισαν με πέτρα από το βουνό νωρίς"
+
+
+def leaked(item, doc):
+    index = L.build_index([(1, words(item))])
+    return any(L.search(index, w, np.array([L.word_hash(x) for x in w], np.uint64)) for w in word_streams(doc))
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, GREEK])
+def test_case_and_look_alikes_together(text):
+    latin = str.maketrans("ВНКМТСЕОАРХΒΗΚΜΝΤΖΙΕΟΑΡΧνο", "BHKMTCEOAPXBHKMNTZIEOAPXvo")
+    for doc in (text.upper(), text.lower(), text.upper().translate(latin), text.translate(latin), text.lower().translate(latin)):
+        assert leaked(text, doc) and leaked(doc, text)
+
+
+def test_v_is_not_n():
+    assert not leaked(W10, W10.replace("v", "n"))
+    assert leaked(W10, W10.replace("v", "ν")) and leaked(W10, W10.upper().replace("N", "Ν"))
+    assert not leaked(W10, W10.replace("x", "ν"))

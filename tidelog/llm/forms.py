@@ -3,7 +3,7 @@
 ``clean`` removes what can't be seen: full-width and half-width forms, composed or
 combining accents, invisible characters, kinds of single blanks, and signs that exist
 twice. ``fold`` also brings look-alike letters of Latin, Cyrillic and Greek together; it
-serves comparisons only. Case, accents, raised digits, kinds of dash and the number of
+serves comparisons only. ``lower`` and ``caseless`` do so without case. Case, accents, raised digits, kinds of dash and the number of
 blanks and lines are left as they are.
 """
 
@@ -114,6 +114,28 @@ def _table(fold: bool) -> dict[int, str | None]:
 
 _CLEAN, _FOLD = _table(False), _table(True)
 
+#: Nu looks like v in small and like N in capital letters, and v isn't n: it stays itself,
+#: and what compares words takes it for either (see ``leaks``).
+NU = "ν"
+
+
+def _closed() -> dict[int, str]:
+    """The letters of a class and their small letters to one of them: where capitals look
+    the same, the small ones are the same word in another case."""
+    one: dict[str, str] = {}
+    for line in LOOK_ALIKES.strip().split("\n"):
+        small = [c.casefold() for c in line.split() if c != "-" and c.casefold() != NU]
+        to = next((one[c] for c in small if c in one), small[0])
+        one.update({c: to for c in small})
+    for c, t in TWINS.items():
+        if t.isalpha():
+            one[c.casefold()] = one.get(t.casefold(), t.casefold())
+    small_of = ((o, chr(o).casefold()) for o in range(0x10000))
+    return {o: one[c] for o, c in small_of if c in one and one[c] != chr(o)}
+
+
+_LOWER, _CLOSED = {o: t for o, t in _FOLD.items() if chr(o).casefold() != NU}, _closed()
+
 #: Texts without a character of this class are their own clean form and hold nothing
 #: but Latin letters, kana and ideographs.
 _UNSAFE = re.compile(
@@ -143,3 +165,20 @@ def fold(text: str) -> str:
     if "\r" in text:
         text = text.replace("\r\n", "\n")
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_FOLD))
+
+
+def lower(text: str) -> str:
+    """``fold`` in small letters, with nu as it is."""
+    if plain(text):
+        return text.casefold()
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_LOWER)).casefold()
+
+
+def caseless(text: str) -> str:
+    """A text in small letters, with the letters brought together that look alike in
+    either case."""
+    if plain(text):
+        return text
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(_CLOSED))

@@ -9,7 +9,8 @@ the item is contained in a window of the same size only if the sets are equal, t
 at Jaccard 1, where the MinHash of one hash function agrees with certainty: the search
 loses nothing, whatever the length of a document. Windows are partitioned by the size of
 their set (repeated words make it smaller) and looked up by (size, MinHash); what is
-found is verified by comparing the words of the window itself.
+found is verified by comparing the words of the window itself. Greek nu may stand for v
+or n (see ``forms.NU``): the three have one hash, and the comparison tells v from n.
 
 The item side is a stated query set. It is read in blocks of at most ``BLOCK_WORDS``
 words, each broadcast (its size bound is that of the block) and searched for in one pass
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.llm.forms import NU
 from tidelog.llm.wikitext import word_streams
 from tidelog.operators.joins import spread
 
@@ -45,8 +47,19 @@ _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(b"position %d" % i, digest_size
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+_NU_TO_N = str.maketrans(NU + "v", "nn")
+
+
 def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(word.translate(_NU_TO_N).encode(), digest_size=8).digest(), "big")
+
+
+def same_words(a: list[str], b: list[str]) -> bool:
+    """Equal words, where nu equals v and n."""
+    if a == b:
+        return True
+    x, y = " ".join(a), " ".join(b)
+    return len(x) == len(y) and (NU in x or NU in y) and all(c == d or NU in (c, d) and {c, d} <= {NU, "v", "n"} for c, d in zip(x, y))
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -98,7 +111,7 @@ def search(index: dict, words: list[str], hashes: np.ndarray) -> set[int]:
         window = words[i : i + n]
         for k, j in index["at"].get((len(set(s[i : i + width].tolist())), int(m[i])), ()):
             item, theirs = index["items"][k]
-            if item not in found and theirs[j : j + n] == window:
+            if item not in found and same_words(theirs[j : j + n], window):
                 found.add(item)
     return found
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 import html
 import re
 
-from tidelog.llm.forms import fold
+from tidelog.llm.forms import caseless, lower
 
 WORD = re.compile(r"[^\W_]+")
 WORD_WITH_MARKS = re.compile("(?:[^\\W_][\u0300-\u036f]*)+")
@@ -112,7 +112,8 @@ def _finish(text: str) -> list[str]:
     if "<" in text:
         text = _INLINE_TAG.sub("", _BREAK_TAG.sub(" ", text))
     if "&" in text:
-        text = fold(html.unescape(text)).casefold()
+        text = lower(html.unescape(text))
+    text = caseless(text)
     return (WORD_WITH_MARKS if _MARK.search(text) else WORD).findall(text)
 
 
@@ -120,7 +121,7 @@ def word_streams(text: str | None) -> list[list[str]]:
     """Sequences of folded words; see the module text."""
     if not text:
         return []
-    text = fold(text).casefold()
+    text = lower(text)
     asides: list[str] = []
 
     def aside(m: re.Match) -> str:
