@@ -88,3 +88,20 @@ def test_a_proposal_nobody_attests_is_left(spark):
     assert {r.doc_id: r.form for r in consistent_text(df).collect()} == dict(rows)
     more = df.union(spark.createDataFrame([(3, "xozzle again")], df.schema))
     assert {r.doc_id: r.form for r in consistent_text(more).collect()}[1] == "xozzle only"
+
+
+def test_a_spelling_is_rejected_by_script(spark):
+    # In the Greek text The becomes Τhe, which nobody has; in the Russian ones it becomes
+    # Тһе, which a second spelling attests. The first Russian text is there twice.
+    russian = "Город у реки и мельница {} стоит"
+    rows = [(1, "Η πόλη του ποταμού και γέφυρα The"), (2, russian.format("The")), (3, russian.format("Thе")), (2, russian.format("The"))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    assert [tuple(r) for r in look_alike_pairs(df).collect()] == [(2, 3)]
+    of = {r.doc_id: r.form for r in consistent_text(df).collect()}
+    assert of[2] == of[3] == russian.format("Тһе") and of[1] == rows[0][1]
+
+
+def test_repeated_rows_of_rejected_spellings(spark):
+    rows = [(1, "авxя here"), (1, "авxя here"), (2, "авxя\u00a0here")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [tuple(r) for r in look_alike_pairs(df).collect()] == [(1, 2)]

@@ -78,9 +78,11 @@ def propose(token: str, context: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
-def repair(text: str, rejected: frozenset[str] = frozenset(), cache: dict | None = None) -> tuple[str, list[tuple[int, str, str]]]:
-    """The clean text with every proposal taken, but those of ``rejected`` spellings; and
-    its mixed tokens as (position in the result, spelling, proposal)."""
+def repair(
+    text: str, rejected: frozenset[tuple[str, str]] = frozenset(), cache: dict | None = None
+) -> tuple[str, list[tuple[int, str, str]]]:
+    """The clean text with every proposal taken, but the ``rejected`` (spelling, proposal);
+    and its mixed tokens as (position in the result, spelling, proposal)."""
     base = clean(text)
     if plain(base):
         return base, []
@@ -99,7 +101,7 @@ def repair(text: str, rejected: frozenset[str] = frozenset(), cache: dict | None
             gap = base[end : m.start()]
             at += len(gap)
             mixed.append((at, token, p))
-            took = token if token in rejected else p
+            took = token if (token, p) in rejected else p
             parts += [gap, took]
             at += len(took)
             end = m.end()
@@ -148,7 +150,10 @@ class Analysis:
         path = new_folder(spark, "glyphs")
         found = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(_analyse, _OUT)
         hashed = F.transform(
-            "mixed", lambda x: F.struct(x["at"].alias("at"), F.xxhash64(x["s"]).alias("s"), F.xxhash64(x["p"]).alias("p"), x["s"].alias("spelling"))
+            "mixed",
+            lambda x: F.struct(
+                x["at"].alias("at"), F.xxhash64(x["s"]).alias("s"), F.xxhash64(x["p"]).alias("p"), x["s"].alias("spelling"), x["p"].alias("proposal")
+            ),
         )
         (
             found.select("kind", "doc_id", "text_hash", "form_hash", "visible", hashed.alias("mixed"),
@@ -157,13 +162,14 @@ class Analysis:
         )
         schema = (
             "doc_id bigint, text_hash binary, form_hash binary, visible boolean, "
-            "mixed array<struct<at:int,s:bigint,p:bigint,spelling:string>>, token bigint, kind int"
+            "mixed array<struct<at:int,s:bigint,p:bigint,spelling:string,proposal:string>>, token bigint, kind int"
         )
         self.table = spark.read.schema(schema).option("basePath", path).parquet(path)
         self.docs = self.table.where("kind = 0").select("doc_id", "text_hash", "form_hash", "visible", "mixed")
 
     def rejected(self) -> DataFrame:
-        """(s, p): the mixed spellings whose proposal the vocabulary doesn't have."""
+        """(s, p): the mixed spellings whose proposal the vocabulary doesn't have. One
+        spelling has other proposals in texts of another dominant script."""
         asked = self.docs.where(F.size("mixed") > 0).select(F.explode("mixed").alias("m")).select("m.s", "m.p").distinct()
         single = asked.groupBy("p").agg(F.count("*").alias("n"), F.min("s").alias("s")).where("n = 1").select("p", "s")
         attested = self.table.where("kind = 1").select(F.col("token").alias("p"))
@@ -175,7 +181,8 @@ class Analysis:
         rejected = self.rejected()
         mixed = self.docs.where(F.size("mixed") > 0).select("doc_id", "text_hash", F.explode("mixed").alias("m"))
         rest = (
-            lookup_join(mixed.select("doc_id", "text_hash", "m.at", "m.s"), rejected.select("s"), ["s"], "inner", spread="doc_id", name="rejected")
+            lookup_join(mixed.select("doc_id", "text_hash", "m.at", "m.s", "m.p"), rejected, ["s", "p"], "inner", spread="doc_id", name="rejected")
+            .distinct()
             .groupBy("doc_id", "text_hash").agg(F.sum(F.xxhash64("at", "s").cast("decimal(38,0)")).alias("rest"))
         )
         plainly = self.docs.select("doc_id", "text_hash", "form_hash", "visible")
@@ -206,19 +213,20 @@ def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def consistent_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, form): the consistent form of every text; a null text gives null."""
     analysis = Analysis(docs, id_col, text_col)
-    rejected = analysis.rejected().select("s")
+    rejected = analysis.rejected()
     spelled = (
         lookup_join(
-            analysis.docs.where(F.size("mixed") > 0).select("doc_id", F.explode("mixed").alias("m")).select("doc_id", "m.s", "m.spelling"),
-            rejected, ["s"], "inner", spread="doc_id", name="rejected",
-        ).groupBy("doc_id").agg(F.collect_set("spelling").alias("rejected"))
+            analysis.docs.where(F.size("mixed") > 0).select("doc_id", F.explode("mixed").alias("m")).select("doc_id", "m.s", "m.p", "m.spelling", "m.proposal"),
+            rejected, ["s", "p"], "inner", spread="doc_id", name="rejected",
+        ).groupBy("doc_id").agg(F.collect_set(F.struct("spelling", "proposal")).alias("rejected"))
     )
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
         for batch in batches:
             ids, texts, kept = (batch.column(i).to_pylist() for i in range(3))
-            forms = [None if t is None else repair(t, frozenset(k or ()), cache)[0] for t, k in zip(texts, kept)]
+            pairs = [frozenset((x["spelling"], x["proposal"]) for x in k or ()) for k in kept]
+            forms = [None if t is None else repair(t, k, cache)[0] for t, k in zip(texts, pairs)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(forms, pa.string())], names=[id_col, "form"])
 
     rows = spread(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
