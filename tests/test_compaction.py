@@ -102,3 +102,18 @@ def test_two_writers_of_one_version(spark, tmp_path):
     with pytest.raises(CommitConflict):
         store.commit(1, {"a": 2})
     assert store.read() == {"a": 1, "version": 1} and store.versions() == [1]
+
+
+def test_rewriting_keeps_every_field(spark, tmp_path):
+    resolved = C.resolve_runs(listings(spark, [(1, r, f"{r:06d}.sst", 100, 2, 0, False) for r in (1, 2)] + [(1, 3, "000003.sst", 9000, 2, 0, False)]))
+    rows = [
+        (1, 1, "a", None, 5, False, "hex", "unknown"), (2, 1, "a", "x", 5, False, "unknown", None), (2, 1, "b", None, 6, True, None, "w1"),
+        (3, 1, "a", "x", 5, False, " ", "w2"), (3, 1, "a", "x", 5, False, " ", "w2"),
+    ]
+    e = spark.createDataFrame(rows, "run_id bigint, store_id bigint, key string, value string, seq_no bigint, tombstone boolean, value_type string, writer string")
+    c = C.Compactor(spark, f"file://{tmp_path}/c")
+    c.plan(resolved)
+    out = {r.out_run_id for r in c.final_outputs().collect()}
+    got = sorted((r.out_run_id == 3, r.key, r.seq_no, r.tombstone, r.value, r.value_type, r.writer) for r in c.rewrite(resolved, e).collect())
+    assert len(out) == 1
+    assert got == [(False, "a", 5, False, "x", "hex", "unknown"), (False, "b", 6, True, None, None, "w1"), (True, "a", 5, False, "x", " ", "w2")]

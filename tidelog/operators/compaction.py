@@ -17,7 +17,8 @@ Defined results: a listing is published if its file name, without folder, blanks
 case, ends in ``.sst``; other listings count for nothing but ``removed_at``. Sizes and
 counts that are null, zero or negative say nothing. A run without a usable size is not
 small and is never merged. Entries of one run with equal key and sequence number are
-copies: they become one entry that has each field if any copy has it. Null run ids are
+copies: within one output they become one entry that has each field if any copy has it;
+a stand-in for a type or writer only remains where no copy names one. Null run ids are
 ignored; empty tables give empty plans; other columns are ignored.
 """
 
@@ -36,6 +37,16 @@ BLOCK = 4096
 #: About as many runs of one scope and tier are grouped together.
 SHARD = 10_000
 JOURNAL = "tier int, txn_id bigint, store_id bigint, input_id bigint, output_id bigint, bytes bigint, entries bigint, level bigint, original boolean"
+#: What an entry holds besides its place: copies are combined field by field.
+FIELDS = ("tombstone", "value", "value_type", "writer")
+#: Stand-ins for "not known", compared trimmed and without case.
+STAND_INS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown", "unk", "not known", "undefined")
+
+
+def known(name: str) -> Column:
+    """True where a label is present: not null, blank or a stand-in."""
+    text = F.lower(F.trim(F.regexp_replace(name, r"(?U)\s+", " ")))
+    return F.coalesce(~text.isin(*STAND_INS), F.lit(False))
 
 
 def published(name: str = "file_name") -> Column:
@@ -184,14 +195,16 @@ class Compactor:
             target = live.join(self.final_outputs(), "run_id", "left").select(
                 "run_id", F.coalesce("out_run_id", "run_id").alias("out_run_id")
             )
+            fields = [c for c in FIELDS if c in entries.columns]
             placed = lookup_join(
-                entries.select("run_id", "store_id", "key", "seq_no", "tombstone", "value"),
+                entries.select("run_id", "store_id", "key", "seq_no", *fields),
                 target, ["run_id"], "inner", spread="seq_no", name="targets",
             )
+            best = lambda c: F.coalesce(F.max(F.when(known(c), F.col(c))), F.max(c)) if c in ("value_type", "writer") else F.max(c)
             folder = "data/0000000001"
             (
                 placed.groupBy("out_run_id", "store_id", "key", "seq_no")
-                .agg(F.max("tombstone").alias("tombstone"), F.max("value").alias("value"))
+                .agg(*[best(c).alias(c) for c in fields])
                 .repartitionByRange("store_id", "out_run_id", "key")
                 .sortWithinPartitions("store_id", "out_run_id", "key", F.desc("seq_no"))
                 .write.mode("overwrite").parquet(f"{self.path}/{folder}")

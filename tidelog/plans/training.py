@@ -45,12 +45,17 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compactor.inputs()
 
 
-def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The distinct entries on disk after the compaction."""
+def p2_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewritten runs as they are: every entry of every output, with all its fields."""
     runs = resolve_runs(table(spark, sf_dir, "table_handles"))
     compactor = Compactor(spark, new_folder(spark, "compaction"))
     compactor.plan(runs)
-    done = compactor.rewrite(runs, table(spark, sf_dir, "run_entries"))
+    return compactor.rewrite(runs, table(spark, sf_dir, "run_entries"))
+
+
+def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distinct entries on disk after the compaction."""
+    done = p2_rewritten(spark, sf_dir)
     return done.groupBy("store_id", "key", "seq_no").agg(F.max("value").alias("value"))
 
 
@@ -73,7 +78,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.run(mutations_by_arrival(log), log.agg(F.max("arrived_at"))).select("store_id", "seq_no")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_in_batches, p2_found, p2_entries, p2_outputs, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_in_batches, p2_found, p2_rewritten, p2_entries, p2_outputs, p5_found)}
 
 _MUTATIONS = """m as (select store_id, seq_no, max(key) as key, bool_or(tombstone) as tombstone, max(value) as value
   from mutation_log where store_id is not null and seq_no is not null group by store_id, seq_no),
