@@ -103,3 +103,10 @@ def test_v_is_not_n():
     assert not leaked(W10, W10.replace("v", "n"))
     assert leaked(W10, W10.replace("v", "ν")) and leaked(W10, W10.upper().replace("N", "Ν"))
     assert not leaked(W10, W10.replace("x", "ν"))
+
+
+@pytest.mark.parametrize("name", ["efn", "Refn", "note"])
+def test_a_passage_in_a_note_template(name):
+    assert leaked(W10, f"some text{{{{{name}|group=n|{W10}}}}} goes on")
+    assert leaked(W10, f"some text<ref>see {{{{{name}|1={W10}}}}}</ref> goes on")
+    assert words(f"some{{{{{name}|{W10}}}}} text") == ["some", "text"]

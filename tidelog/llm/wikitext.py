@@ -102,8 +102,9 @@ def _values(body: str) -> list[str]:
     return [_NAMED.sub("", part, count=1) for part in body.split("|")[1:]]
 
 
-def _template(body: str) -> str:
+def _template(body: str, asides: list[str]) -> str:
     if body.partition("|")[0].strip() in NOTES:
+        asides.append(" ".join(_values(body)))
         return ""
     return " " + " ".join(_values(body)) + " "
 
@@ -152,7 +153,7 @@ def word_streams(text: str | None) -> list[list[str]]:
             text, n = _PARAMETER.subn(lambda m: m[1] or "", text)
             if not n:
                 break
-        text = _nested(text, _TEMPLATE_SIGNS, "{{", _template)
+        text = _nested(text, _TEMPLATE_SIGNS, "{{", lambda body: _template(body, asides))
     streams = [_finish(text)]
     for a in asides:
         if len(a) > 20:
