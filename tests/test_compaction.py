@@ -117,3 +117,15 @@ def test_rewriting_keeps_every_field(spark, tmp_path):
     got = sorted((r.out_run_id == 3, r.key, r.seq_no, r.tombstone, r.value, r.value_type, r.writer) for r in c.rewrite(resolved, e).collect())
     assert len(out) == 1
     assert got == [(False, "a", 5, False, "x", "hex", "unknown"), (False, "b", 6, True, None, None, "w1"), (True, "a", 5, False, "x", " ", "w2")]
+
+
+def test_tiny_runs_are_merged_to_the_end(spark, tmp_path):
+    resolved = C.resolve_runs(listings(spark, [(1, r, f"{r:06d}.sst", 16, 1, 0, False) for r in range(1, 301)] + [(2, 900, "000900.sst", 16, 1, 0, False)]))
+    c = C.Compactor(spark, f"file://{tmp_path}/c")
+    before = c.plan(resolved).count()
+    size = {}
+    for r in c.final_outputs().collect():
+        size[r.out_run_id] = size.get(r.out_run_id, 0) + 16
+    assert sum(size.values()) == 301 * 16 and size[900] == 16
+    assert sum(n < 4096 for out, n in size.items() if out != 900) <= 1
+    assert C.Compactor(spark, f"file://{tmp_path}/c").plan(resolved).count() == before

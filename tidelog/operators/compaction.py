@@ -3,7 +3,8 @@
 ``resolve_runs`` makes one row per run out of its listings. ``Compactor.plan`` merges
 runs of one scope that are similar in size, tier by tier from the smallest: in each
 tier every ``fan_in`` runs are one transaction, whose output enters the tier of its
-size; runs left over wait in the next tier, and the last tier merges what is left.
+size; runs left over wait in the next tier, and the last tier merges what is left. It is
+repeated, under the next numbers, until no scope has two runs below a block.
 Each tier is written to the journal (transaction, input, output) and published by a
 manifest before the next one is looked at, so a restarted plan takes up after the
 last published tier; a transaction's id follows from its inputs, so planning a tier
@@ -24,6 +25,7 @@ ignored; empty tables give empty plans; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,7 +108,9 @@ class Compactor:
             .select("store_id", "run_id", "bytes", F.coalesce("entries", F.lit(0)).alias("entries"),
                     F.coalesce("level", F.lit(0)).alias("level"), F.lit(True).alias("original"))
         )
-        for tier in range(self.tiers):
+        for tier in itertools.count():
+            if tier >= self.tiers and waiting.groupBy("store_id").count().where("count > 1").isEmpty():
+                break
             if tier not in held["tiers"]:
                 self._plan_tier(waiting, tier)
                 held = self.store.commit(held["version"] + 1, {**held, "tiers": [*held["tiers"], tier]})
@@ -114,7 +118,7 @@ class Compactor:
         return self.journal()
 
     def _plan_tier(self, waiting: DataFrame, tier: int) -> None:
-        last = tier == self.tiers - 1
+        last = tier >= self.tiers - 1
         here = F.lit(True) if last else self._tier(F.col("bytes")) <= tier
         due = waiting.where(here)
         shards = due.groupBy("store_id").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
@@ -177,7 +181,8 @@ class Compactor:
         """(run_id, out_run_id): for each small run on disk the run that has its
         entries in the end; found by following the journal tier by tier."""
         journal = self.journal()
-        steps = [journal.where(F.col("tier") == t).select("input_id", "output_id") for t in range(self.tiers)]
+        tiers = (self.store.read() or {"tiers": []})["tiers"]
+        steps = [journal.where(F.col("tier") == t).select("input_id", "output_id") for t in tiers]
         at = journal.where("original").groupBy("input_id").agg(F.min("tier").alias("from_tier"))
         at = at.select(F.col("input_id").alias("run_id"), F.col("input_id").alias("out_run_id"))
         for step in steps:
