@@ -205,7 +205,9 @@ class Compactor:
                 entries.select("run_id", "store_id", "key", "seq_no", *fields),
                 target, ["run_id"], "inner", spread="seq_no", name="targets",
             )
-            best = lambda c: F.coalesce(F.max(F.when(known(c), F.col(c))), F.max(c)) if c in ("value_type", "writer") else F.max(c)
+            # a known label sorts after a stand-in
+            label = lambda c: F.concat(F.when(known(c), "1").otherwise("0"), F.col(c))
+            best = lambda c: F.max(label(c)).substr(F.lit(2), F.lit(1 << 30)) if c in ("value_type", "writer") else F.max(c)
             folder = "data/0000000001"
             (
                 placed.groupBy("out_run_id", "store_id", "key", "seq_no")
