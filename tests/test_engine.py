@@ -181,3 +181,11 @@ def test_crc32c(spark):
     assert list(crc32c_many(values)) == [crc32c(v) for v in values] and len(crc32c_many([])) == 0
     df = spark.createDataFrame([(bytearray(b"123456789"),), (None,)], "v binary")
     assert [r[0] for r in df.select(crc32c_column("v")).collect()] == [0xE3069283, None]
+
+
+def test_size_tier_falls_back_to_levels():
+    from tidelog.engine import pick_size_tier
+
+    runs = [{"id": i, "size": 10**i, "level": i % 2} for i in range(1, 6)]
+    assert [r["id"] for r in pick_size_tier(runs, 3, 2)] == [4, 2, 5]
+    assert pick_size_tier(runs[:2], 3, 2) == []
