@@ -1,32 +1,41 @@
 """Applying a stream of inserts, updates and deletes (bucketed copy-on-write).
 
-The table lies in a folder as hash buckets of its key. A batch of changes is
-reduced to the newest change of each key, routed to the buckets by the same hash,
-and sort-merged with the touched buckets only; the merged buckets are written as
-replacement files and a new manifest, published atomically, names them. Buckets
-without a change keep their files.
+The table lies in a folder as hash buckets of its key, one sorted file each. A batch of
+changes is reduced to the newest change of each key, routed to the buckets by the same
+hash, and sort-merged with the touched buckets only; the merged buckets are written as
+replacement files and a new manifest, published atomically, names them. Buckets without
+a change keep their files. The stored side of the merge is read bucket by bucket in its
+order: it is neither exchanged nor sorted (see ``storage.buckets``). Buckets that grow
+beyond ``max_bucket_bytes`` are split in two before the next batch; files that none of the
+newest ``retain`` versions names are deleted.
 
 Change rows are deliveries: one mutation, named by (scope, sequence number), can
 arrive several times, out of order and with fields missing. A delivery is whole
 if it has a key and is a delete, or has a key, a value and says that it is no
 delete. Other deliveries are put together by mutation until they are whole; what
-stays incomplete is kept as pending fragments for later batches.
+stays incomplete is kept as pending fragments for later batches. A bitmap of the mutations
+that were applied tells which fragments came after, or beside, a whole delivery of theirs:
+they are dropped, so what is pending doesn't grow with the history.
 
 Defined results: rows without scope or sequence number can't be ordered and are
 ignored; an empty key or value is a value; keys compare as exact bytes; of equal
 sequence numbers of one key a delete wins, then the greater value; an empty batch
-publishes nothing; a batch id applied before is skipped; columns of the change
-table other than those named are ignored.
+changes no rows; a batch id applied before is skipped (ids that end in ``-<number>`` are
+kept as ranges of numbers); columns of the change table other than those named are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.operators.seen import SeenNumbers
+from tidelog.storage.buckets import Buckets
 from tidelog.storage.manifest import ManifestStore
+from tidelog.storage.workspace import delete
 
 COLUMNS = ("store_id", "key", "seq_no", "tombstone", "value")
 SCHEMA = "store_id bigint, key string, seq_no bigint, tombstone boolean, value string"
@@ -55,6 +64,29 @@ def newest_per_key(mutations: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(batch_id: str) -> tuple[str, int | None]:
+    found = re.fullmatch(r"(.*)-(\d+)", batch_id)
+    return (found[1] + "-", int(found[2])) if found else (batch_id, None)
+
+
+def was_applied(batches: dict, batch_id: str) -> bool:
+    name, n = _numbered(batch_id)
+    return name in batches and (n is None or any(a <= n <= b for a, b in batches[name]))
+
+
+def with_batch(batches: dict, batch_id: str) -> dict:
+    """The applied batches, with neighbouring numbers of one name as one range."""
+    name, n = _numbered(batch_id)
+    spans = sorted([*batches.get(name, []), *([] if n is None else [[n, n]])])
+    joined: list[list[int]] = []
+    for a, b in spans:
+        if joined and a <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    return {**batches, name: joined}
+
+
 @dataclass
 class ApplyReport:
     version: int
@@ -65,93 +97,72 @@ class ApplyReport:
 class BucketedTable:
     """A keyed table under copy-on-write; one writer at a time, any readers."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, max_bucket_bytes: int = 1 << 30, retain: int = 10):
         self.spark, self.path = spark, path.rstrip("/")
+        self.max_bucket_bytes, self.retain = max_bucket_bytes, max(1, retain)
         self.store = ManifestStore(spark, path)
         held = self.store.read()
-        #: As many buckets as shuffle partitions: then a task after the merge holds
-        #: whole buckets, and writing needs no further shuffle.
+        #: As many buckets as shuffle partitions at first: then grouping a batch by key
+        #: also deals it to the buckets.
         self.buckets = held["buckets"] if held else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.hash("store_id", "key"), F.lit(self.buckets))
+    def _table(self, count: int | None = None) -> Buckets:
+        return Buckets(self.spark, self.path, SCHEMA, ["store_id", "key"], count or self.buckets)
 
-    def _read(self, folders: list[str], schema: str = SCHEMA) -> DataFrame:
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in sorted(set(folders))])
+    def _pending(self, held: dict | None) -> DataFrame:
+        if not held or not held["pending"]:
+            return self.spark.createDataFrame([], SCHEMA)
+        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{held['pending']}")
 
     def apply(self, changes: DataFrame, batch_id: str) -> ApplyReport:
         """Merge one batch. Failing at any point before the manifest is published
         leaves the table as it was; the same batch can then be applied again."""
-        old = self.store.read() or {"version": 0, "files": {}, "pending": [], "batches": []}
-        if batch_id in old["batches"]:
+        old = self.store.read() or {"version": 0, "buckets": self.buckets, "files": {}, "seen": {}, "seen_buckets": self.buckets, "pending": None, "batches": {}}
+        if was_applied(old["batches"], batch_id):
             return ApplyReport(old["version"], [], True)
-        version = old["version"] + 1
+        version, files = old["version"] + 1, old["files"]
+        table, seen = self._table(old["buckets"]), SeenNumbers(self.spark, self.path, old["seen_buckets"])
+        if any(size > self.max_bucket_bytes for _, size in files.values()):
+            table, files = table.split(files, f"data/{version:010d}-split")
         rows = changes.select(*COLUMNS).where("store_id is not null and seq_no is not null")
-        fragments = rows.where(~whole())
-        if old["pending"]:
-            fragments = fragments.unionByName(self._read(old["pending"]))
-        assembled = assemble(fragments)
-        batch = newest_per_key(rows.where(whole()).unionByName(assembled.where(whole())))
-
-        base_files = old["files"]
-        if base_files:
-            routed = f"{self.path}/routed/{version:010d}"
-            batch.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(routed)
-            batch_in = self.spark.read.schema(SCHEMA + ", bucket int").parquet(routed)
-            touched = sorted(r[0] for r in batch_in.select("bucket").distinct().collect())
-            base = self._read([base_files[str(b)] for b in touched if str(b) in base_files])
-            merged = self._merge(base, batch_in.drop("bucket"))
-        else:
-            merged = batch
-        folder = f"data/{version:010d}"
-        (
-            merged.withColumn("bucket", self._bucket())
-            .sortWithinPartitions("bucket", "store_id", "key")
-            .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
-        )
-        written = self._written(folder)
+        work = f"{self.path}/work/{version:010d}"
+        assemble(rows.where(~whole()).unionByName(self._pending(old))).write.mode("overwrite").parquet(work)
+        assembled = self.spark.read.schema(SCHEMA).parquet(work)
+        mutations = rows.where(whole()).unionByName(assembled.where(whole()))
+        newer = lambda a, b: F.greatest(a, b)  # noqa: E731  # by number, delete, value; a null is less
+        new_files = table.merged(files, newest_per_key(mutations), version, newer)
+        new_seen = seen.added(old["seen"], mutations.select("store_id", "seq_no"), version)
         pending = f"pending/{version:010d}"
-        assembled.where(~whole()).write.mode("overwrite").parquet(f"{self.path}/{pending}")
+        seen.missing(new_seen, assembled.where(~whole()), pending)
         self.store.commit(
             version,
             {
-                "buckets": self.buckets,
-                "files": {**base_files, **{str(b): f"{folder}/bucket={b}" for b in written}},
-                "pending": [pending],
-                "batches": [*old["batches"], batch_id],
+                "buckets": table.count, "files": new_files, "seen": new_seen, "seen_buckets": seen.buckets.count,
+                "pending": pending, "batches": with_batch(old["batches"], batch_id),
             },
-        )
-        return ApplyReport(version, written)
-
-    def _merge(self, base: DataFrame, batch: DataFrame) -> DataFrame:
-        """Sort-merge of touched buckets: both sides have one row per key."""
-        b = base.select("store_id", "key", F.struct("seq_no", "tombstone", "value").alias("old"))
-        n = batch.select("store_id", "key", F.struct("seq_no", "tombstone", "value").alias("new"))
-        m = b.hint("merge").join(n, ["store_id", "key"], "full_outer")
-        return m.select("store_id", "key", F.greatest("old", "new").alias("m")).select(
-            "store_id", "key", "m.seq_no", "m.tombstone", "m.value"
-        )
-
-    def _written(self, folder: str) -> list[int]:
-        from tidelog.storage.workspace import hadoop
-
-        fs, p = hadoop(self.spark, f"{self.path}/{folder}")
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted(int(n[7:]) for n in names if n.startswith("bucket="))
+        )
+        self.buckets = table.count
+        delete(self.spark, work)
+        # buckets that were split and then rewritten at once
+        for b, f in files.items():
+            if f != new_files.get(b) and f != old["files"].get(b):
+                delete(self.spark, f"{self.path}/{f[0]}")
+        self.vacuum()
+        return ApplyReport(version, sorted(int(b) for b, f in new_files.items() if f != files.get(b)))
+
+    def vacuum(self, retain: int | None = None) -> None:
+        """Delete the versions before the newest ``retain`` and the files that only they name."""
+        self.store.expire(retain or self.retain, lambda m: {m["pending"], *(f[0] for f in [*m["files"].values(), *m["seen"].values()])} - {None})
 
     def rows(self, version: int | None = None) -> DataFrame:
         """The newest mutation of each key, deletes included, as of a version."""
         held = self.store.read(version)
-        return self._read(list(held["files"].values()) if held else [])
+        return self._table().read(held["files"] if held else {})
 
     def state(self, version: int | None = None) -> DataFrame:
         """The visible rows: newest mutation of each key that isn't a delete."""
         return self.rows(version).where(~F.col("tombstone"))
 
     def pending(self) -> DataFrame:
-        """Mutations that no delivery so far has made complete, without those whose
-        key's whole delivery came by itself only when later asked for by number."""
-        held = self.store.read()
-        return self._read(held["pending"] if held else [])
+        """Mutations that no delivery so far has made complete."""
+        return self._pending(self.store.read())

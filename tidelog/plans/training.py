@@ -12,9 +12,19 @@ from tidelog.sources.tables import table
 from tidelog.storage.workspace import new_folder
 
 
+#: Batches in which the feed is applied, cut by delivery number.
+BATCHES = 2
+
+
 def _applied(spark: SparkSession, sf_dir: str) -> BucketedTable:
+    """The table after the whole feed was applied batch by batch."""
+    log = table(spark, sf_dir, "mutation_log")
+    low, high = log.agg(F.min("delivery_id"), F.max("delivery_id")).first()
     target = BucketedTable(spark, new_folder(spark, "changes"))
-    target.apply(table(spark, sf_dir, "mutation_log"), "all")
+    step = ((high or 0) - (low or 0)) // BATCHES + 1
+    for i in range(BATCHES):
+        start = (low or 0) + i * step
+        target.apply(log.where(F.col("delivery_id").between(start, start + step - 1)), f"batch-{i}")
     return target
 
 
@@ -27,15 +37,10 @@ def p1_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _applied(spark, sf_dir).state().select("store_id", "key", "seq_no", "value")
 
 
-def p1_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table built by three batches of the feed, cut by delivery number."""
-    log = table(spark, sf_dir, "mutation_log")
-    low, high = log.agg(F.min("delivery_id"), F.max("delivery_id")).first()
+def p1_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table built by one batch."""
     target = BucketedTable(spark, new_folder(spark, "changes"))
-    step = ((high or 0) - (low or 0)) // 3 + 1
-    for i in range(3):
-        start = (low or 0) + i * step
-        target.apply(log.where(F.col("delivery_id").between(start, start + step - 1)), f"batch-{i}")
+    target.apply(table(spark, sf_dir, "mutation_log"), "all")
     return target.state().select("store_id", "key", "seq_no", "value")
 
 
@@ -78,7 +83,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.run(mutations_by_arrival(log), log.agg(F.max("arrived_at"))).select("store_id", "seq_no")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_in_batches, p2_found, p2_rewritten, p2_entries, p2_outputs, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_at_once, p2_found, p2_rewritten, p2_entries, p2_outputs, p5_found)}
 
 _MUTATIONS = """m as (select store_id, seq_no, max(key) as key, bool_or(tombstone) as tombstone, max(value) as value
   from mutation_log where store_id is not null and seq_no is not null group by store_id, seq_no),
@@ -92,7 +97,7 @@ r as (select run_id, max(case when pub and file_size > 0 then file_size end) as
 ORACLE = {
     "p1_found": f"with {_MUTATIONS} select store_id, key, seq_no from n where r = 1 and not tombstone",
     "p1_state": f"with {_MUTATIONS} select store_id, key, seq_no, value from n where r = 1 and not tombstone",
-    "p1_in_batches": f"with {_MUTATIONS} select store_id, key, seq_no, value from n where r = 1 and not tombstone",
+    "p1_at_once": f"with {_MUTATIONS} select store_id, key, seq_no, value from n where r = 1 and not tombstone",
     "p2_found": f"with {_RUNS} select run_id from r where not gone and bytes < 4096",
     "p2_entries": f"""with {_RUNS} select e.store_id, e.key, e.seq_no, max(e.value) as value
       from run_entries e join r on e.run_id = r.run_id and not r.gone group by e.store_id, e.key, e.seq_no""",

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from tidelog.storage.workspace import hadoop
+from tidelog.storage.workspace import delete, hadoop
 
 
 class CommitConflict(RuntimeError):
@@ -71,3 +72,12 @@ class ManifestStore:
             fs.delete(tmp, False)
             raise CommitConflict(str(e)) from e
         return body
+
+    def expire(self, retain: int, named: Callable[[dict], set[str]]) -> None:
+        """Drop all but the newest ``retain`` versions, oldest first, each with the folders
+        that it names and the next version doesn't (a folder once left isn't named again)."""
+        versions = self.versions()
+        for version, later in zip(versions[:-retain], versions[1:]):
+            for folder in named(self.read(version)) - named(self.read(later)):
+                delete(self.spark, f"{self.path}/{folder}")
+            delete(self.spark, f"{self.folder}/{version:010d}.json")
