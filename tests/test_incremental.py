@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import tidelog.operators.joins as J
-from tidelog.operators.incremental import IncrementalReader, last_success, mutations_by_arrival
+from tidelog.operators.incremental import CommitLog, IncrementalReader, last_success
 
 T0 = datetime(2033, 1, 1)
 ATTEMPT = "attempt_id bigint, store_id bigint, run_id bigint, max_seq_no bigint, started_at timestamp_ntz, logged_at timestamp_ntz, status string, watermark int"
@@ -35,22 +35,45 @@ def test_last_success(spark):
 
 def test_runs_cover_each_record_once(spark, tmp_path):
     path = f"file://{tmp_path}/r"
-    reader = IncrementalReader(spark, path)
+    commits = CommitLog(spark, f"file://{tmp_path}/c")
+    reader = IncrementalReader(spark, path, commits, 3)
     reader.seed(last_success(attempts(spark, [(1, 1, 10, 11, "succeeded")])))
-    rows = [(1, 1, 5), (1, 1, 50), (1, 2, 10), (1, 3, 11), (1, 3, None), (2, 1, 1), (2, 2, None), (None, 1, 1), (1, None, 99)]
-    source = mutations_by_arrival(log(spark, rows))
-    first = [(1, 3), (2, 1), (2, 2)]
-    assert pairs(reader.run(source, commit=False)) == first
-    assert pairs(IncrementalReader(spark, path).run(source)) == first
-    more = mutations_by_arrival(log(spark, rows + [(1, 4, 60), (2, 3, 2), (1, 3, 70)]))
-    assert pairs(IncrementalReader(spark, path).run(more)) == [(1, 4), (2, 3)]
-    assert pairs(IncrementalReader(spark, path).run(more)) == []
-
-
-def test_without_watermarks_and_empty(spark, tmp_path):
-    reader = IncrementalReader(spark, f"file://{tmp_path}/r")
-    assert pairs(reader.run(mutations_by_arrival(log(spark, [])))) == []
-    assert pairs(IncrementalReader(spark, f"file://{tmp_path}/s").run(mutations_by_arrival(log(spark, [(1, 1, None), (1, 2, 3)])))) == [(1, 1), (1, 2)]
+    rows = [(1, 1, 5), (1, 1, 50), (1, 2, 10), (1, 3, 11), (1, 3, None), (1, 7, None), (2, 1, 1), (2, 2, None), (2, 3, 5), (None, 1, 1), (1, None, 99)]
+    assert commits.append(log(spark, rows), "c-1") == 1 == commits.append(log(spark, rows), "c-1")
+    first = [(1, 3), (2, 1), (2, 2), (2, 3)]
+    assert pairs(reader.run(commit=False)) == first
+    again = IncrementalReader(spark, path, commits)
+    assert pairs(again.run()) == first
+    # repeated deliveries; ties with the latest arrival so far; arrivals that get known
+    commits.append(log(spark, [(1, 4, 60), (2, 4, 5), (1, 3, 70), (1, 5, 50), (2, 2, 9), (2, 1, None), (1, 2, 99), (1, 8, None)]), "c-2")
+    commits.append(log(spark, [(1, 7, 12), (2, 5, None), (2, 4, 5), (1, 8, 3)]), "c-3")
+    assert pairs(IncrementalReader(spark, path, commits).run()) == [(1, 4), (1, 5), (1, 7), (2, 4), (2, 5)]
+    assert pairs(again.run()) == []
+    commits.append(log(spark, [(2, 5, 8), (1, 8, 90)]), "c-4")
+    assert pairs(again.run()) == []
+
+
+def test_a_run_reads_only_new_files(spark, tmp_path):
+    commits = CommitLog(spark, f"file://{tmp_path}/c")
+    reader = IncrementalReader(spark, f"file://{tmp_path}/r", commits, 2)
+    commits.append(log(spark, [(1, n, n) for n in range(50)]), "a")
+    assert reader.run().count() == 50
+    commits.append(log(spark, [(1, 60, 3), (1, 7, 8)]), "b")
+    assert all("commits/0000000002" in f for f in commits.read(1, 2).inputFiles())
+    import shutil
+
+    shutil.rmtree(tmp_path / "c/commits/0000000001")
+    assert pairs(reader.run()) == [(1, 60)]
+
+
+def test_without_marks_and_empty(spark, tmp_path):
+    commits = CommitLog(spark, f"file://{tmp_path}/c")
+    reader = IncrementalReader(spark, f"file://{tmp_path}/r", commits, 2)
+    assert pairs(reader.run()) == []
+    commits.append(log(spark, []), "empty")
+    assert pairs(reader.run()) == []
+    commits.append(log(spark, [(1, 1, None), (1, 2, 3)]), "two")
+    assert pairs(reader.run()) == [(1, 1), (1, 2)]
 
 
 def test_the_shuffled_lookup_gives_the_same(spark):

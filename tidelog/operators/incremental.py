@@ -1,19 +1,27 @@
 """Processing only new or changed records (high watermark, atomic commit).
 
-A run reads the committed watermark, fixes an upper limit on the source's commit
-position at its start, processes exactly the records in between, writes the output
-to a folder of its own and publishes output and new watermark in one manifest. A
-run that dies before the manifest is published leaves only an unnamed folder; the
-next run starts from the same watermark, so nothing is skipped or repeated.
-
-The commit position of a mutation is its earliest known arrival: deliveries that
-come later never change whether a mutation was covered by an earlier run.
-
-Defined results: rows without scope or sequence number are ignored; a mutation
-without any known arrival counts as new only in a scope without a watermark; rows
-at the watermark itself are covered; an empty source publishes an empty output;
-status texts compare trimmed and without case; of status rows with one log time the
-greater text counts; attempts without start time never set a watermark.
+The source is a log of commits: every append writes a folder of its own and is published
+under the next commit number, so the numbers only grow and what lies under a number never
+changes. A run reads the committed watermark, fixes the newest commit as its upper limit at
+the start, and reads exactly the commits ``low < number <= high``: its work follows what is
+new, not the history. Output and the new watermark, which is that limit, are published in
+one manifest. A run that dies before leaves only an unnamed folder; the next run starts
+from the same watermark, so nothing is skipped or repeated.
+
+A mutation, (scope, sequence number), can be delivered again in later commits. A bitmap of
+the mutations decided so far (``operators.seen``) is committed together with the watermark;
+deliveries of these are dropped, so each mutation is put out once.
+
+Coverage that another system recorded before the first run enters as marks: in a scope with
+a mark, mutations whose earliest known arrival in the commits read is not later than the
+mark are covered and never put out. Without any known arrival they aren't decided: the next
+delivery that tells one decides.
+
+Defined results: rows without scope or sequence number are ignored; in a scope without a mark
+every mutation is new, whatever its arrival; an arrival at the mark itself is covered; a
+run without new commits puts nothing out and publishes nothing; a commit id appended before
+is skipped; status texts compare trimmed and without case; of status rows with one log time
+the greater text counts; attempts without start time never set a mark.
 """
 
 from __future__ import annotations
@@ -21,8 +29,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.operators.changes import was_applied, with_batch
 from tidelog.operators.joins import lookup_join
+from tidelog.operators.seen import SeenNumbers
 from tidelog.storage.manifest import ManifestStore
+from tidelog.storage.workspace import delete
+
+#: Versions whose files are kept.
+RETAIN = 10
 
 
 def last_success(attempts: DataFrame) -> DataFrame:
@@ -45,63 +59,92 @@ def last_success(attempts: DataFrame) -> DataFrame:
     )
 
 
-def mutations_by_arrival(deliveries: DataFrame) -> DataFrame:
-    """(store_id, seq_no, position): each mutation once, at its earliest known arrival."""
-    return (
-        deliveries.where("store_id is not null and seq_no is not null")
-        .groupBy("store_id", "seq_no")
-        .agg(F.min("arrived_at").alias("position"))
-    )
+SOURCE = "store_id bigint, seq_no bigint, arrived_at timestamp_ntz"
 
 
-class IncrementalReader:
-    """Runs over a source of (store_id, seq_no, position); see the module text.
+class CommitLog:
+    """Deliveries under commit numbers that only grow; one writer, any readers."""
 
-    The committed state is a table of watermarks per store, kept in the folder that
-    the manifest names, next to the output of the run.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schema: str = SOURCE):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
         self.store = ManifestStore(spark, path)
 
-    def seed(self, watermarks: DataFrame) -> None:
-        """Take over watermarks that another system recorded, as version 1."""
-        folder = "watermark/0000000001"
-        watermarks.write.mode("overwrite").parquet(f"{self.path}/{folder}")
-        self.store.commit(1, {"watermark": folder, "output": None, "upper": None})
+    def latest(self) -> int:
+        return (self.store.read() or {"version": 0})["version"]
 
-    def watermarks(self) -> DataFrame | None:
-        held = self.store.read()
-        return self.spark.read.parquet(f"{self.path}/{held['watermark']}") if held else None
+    def append(self, rows: DataFrame, commit_id: str) -> int:
+        """Publish rows under the next number; returns the newest number."""
+        held = self.store.read() or {"version": 0, "ids": {}}
+        if was_applied(held["ids"], commit_id):
+            return held["version"]
+        number = held["version"] + 1
+        columns = [c.split()[0] for c in self.schema.split(", ")]
+        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/commits/{number:010d}")
+        return self.store.commit(number, {"ids": with_batch(held["ids"], commit_id)})["version"]
+
+    def read(self, low: int, high: int) -> DataFrame:
+        """The rows of the commits after ``low`` up to ``high``; no other file is opened."""
+        folders = [f"{self.path}/commits/{n:010d}" for n in range(low + 1, high + 1)]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*folders)
 
-    def run(self, source: DataFrame, upper: DataFrame | None = None, commit: bool = True) -> DataFrame:
-        """Process everything after the watermarks up to the limit fixed now, and
-        return the committed output. ``upper``: one row with the limit, where it is cheaper
-        to get than the greatest position of the source. ``commit=False`` stops before
-        publishing, as a failing run would (for tests)."""
+
+class IncrementalReader:
+    """Runs over a commit log; see the module text."""
+
+    def __init__(self, spark: SparkSession, path: str, log: CommitLog, buckets: int | None = None):
+        self.spark, self.path, self.log = spark, path.rstrip("/"), log
+        self.store = ManifestStore(spark, path)
         held = self.store.read()
-        version = (held["version"] if held else 0) + 1
-        old = (
-            self.spark.read.parquet(f"{self.path}/{held['watermark']}")
-            if held
-            else self.spark.createDataFrame([], "store_id bigint, watermark timestamp_ntz")
-        )
-        kind = dict(source.dtypes)["position"]
-        upper = (source.agg(F.max("position")) if upper is None else upper).first()[0]
-        bounded = source if upper is None else source.where(
-            F.col("position").isNull() | (F.col("position") <= F.lit(upper).cast(kind))
-        )
-        joined = lookup_join(bounded, old, ["store_id"], "left", spread="seq_no", name="watermarks")
-        new = joined.where("watermark is null or position > watermark").select("store_id", "seq_no", "position")
-        out, mark = f"output/{version:010d}", f"watermark/{version:010d}"
-        new.write.mode("overwrite").parquet(f"{self.path}/{out}")
-        done = self.spark.read.parquet(f"{self.path}/{out}")
-        (
-            old.unionByName(done.where("position is not null").groupBy("store_id").agg(F.max("position").alias("watermark")))
-            .groupBy("store_id").agg(F.max("watermark").alias("watermark"))
-            .write.mode("overwrite").parquet(f"{self.path}/{mark}")
+        self.buckets = held["buckets"] if held else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _held(self) -> dict:
+        return self.store.read() or {"version": 0, "low": 0, "marks": None, "output": None, "seen": {}, "buckets": self.buckets}
+
+    def seed(self, marks: DataFrame) -> None:
+        """Take over marks, (store_id, watermark), that another system recorded."""
+        held = self._held()
+        folder = f"marks/{held['version'] + 1:010d}"
+        marks.write.mode("overwrite").parquet(f"{self.path}/{folder}")
+        self.store.commit(held["version"] + 1, {**held, "marks": folder})
+
+    def _marks(self, held: dict) -> DataFrame:
+        if held["marks"]:
+            return self.spark.read.parquet(f"{self.path}/{held['marks']}")
+        return self.spark.createDataFrame([], "store_id bigint, watermark timestamp_ntz")
+
+    def run(self, commit: bool = True) -> DataFrame:
+        """Put out what is new up to the limit fixed now: (store_id, seq_no, position).
+        ``commit=False`` stops before publishing, as a failing run would (for tests)."""
+        held = self._held()
+        low, high, version = held["low"], self.log.latest(), held["version"] + 1
+        if high == low:
+            return self._output(None)
+        met = (
+            self.log.read(low, high).where("store_id is not null and seq_no is not null")
+            .groupBy("store_id", "seq_no").agg(F.min("arrived_at").alias("position"))
+        )
+        marked = lookup_join(met, self._marks(held), ["store_id"], "left", spread="seq_no", name="marks")
+        decided = marked.select(
+            "store_id", "seq_no", "position",
+            F.expr("watermark is null or coalesce(position > watermark, false)").alias("fresh"),
+            F.expr("watermark is null or position is not null").alias("known"),
         )
+        work, folder = f"{self.path}/work/{version:010d}", f"output/{version:010d}"
+        if held["seen"]:
+            decided.write.mode("overwrite").parquet(work)
+            decided = self.spark.read.schema(decided.schema).parquet(work)
+        seen = SeenNumbers(self.spark, self.path, held["buckets"])
+        first = seen.missing(held["seen"], decided, folder)
+        files = seen.added(held["seen"], first.where("known"), version)
         if commit:
-            self.store.commit(version, {"watermark": mark, "output": out, "upper": str(upper)})
-        return done
+            self.store.commit(version, {**held, "low": high, "output": folder, "seen": files})
+            self.store.expire(RETAIN, lambda m: {f[0] for f in m["seen"].values()})
+        delete(self.spark, work)
+        return self._output(folder)
+
+    def _output(self, folder: str | None) -> DataFrame:
+        schema = "store_id bigint, seq_no bigint, position timestamp_ntz, fresh boolean, known boolean"
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}") if folder else self.spark.createDataFrame([], schema)
+        return rows.where("fresh").select("store_id", "seq_no", "position")

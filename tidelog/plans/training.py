@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelog.operators.changes import BucketedTable
 from tidelog.operators.compaction import Compactor, resolve_runs
-from tidelog.operators.incremental import IncrementalReader, last_success, mutations_by_arrival
+from tidelog.operators.incremental import CommitLog, IncrementalReader, last_success
 from tidelog.sources.tables import table
 from tidelog.storage.workspace import new_folder
 
@@ -76,14 +76,33 @@ def p2_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reader = IncrementalReader(spark, new_folder(spark, "incremental"))
+def _runs_of_two(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """What two runs put out: the deliveries of the earlier half of the time are committed
+    before the first, the others, and those without a time, before the second."""
+    log = CommitLog(spark, new_folder(spark, "commits"))
+    reader = IncrementalReader(spark, new_folder(spark, "incremental"), log)
     reader.seed(last_success(table(spark, sf_dir, "flush_attempts")))
-    log = table(spark, sf_dir, "mutation_log")
-    return reader.run(mutations_by_arrival(log), log.agg(F.max("arrived_at"))).select("store_id", "seq_no")
+    rows = table(spark, sf_dir, "mutation_log").select("store_id", "seq_no", "arrived_at")
+    low, high = rows.agg(F.min("arrived_at"), F.max("arrived_at")).first()
+    early = F.lit(False) if low is None else F.coalesce(F.col("arrived_at") <= F.lit(str(low + (high - low) // 2)).cast("timestamp_ntz"), F.lit(False))
+    out = []
+    for i, part in enumerate((early, ~early)):
+        log.append(rows.where(part), f"part-{i}")
+        out.append(reader.run().select("store_id", "seq_no"))
+    return out
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = _runs_of_two(spark, sf_dir)
+    return first.unionByName(second)
+
 
+def p5_second_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the second run alone puts out."""
+    return _runs_of_two(spark, sf_dir)[1]
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_at_once, p2_found, p2_rewritten, p2_entries, p2_outputs, p5_found)}
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p1_at_once, p2_found, p2_rewritten, p2_entries, p2_outputs, p5_found, p5_second_run)}
 
 _MUTATIONS = """m as (select store_id, seq_no, max(key) as key, bool_or(tombstone) as tombstone, max(value) as value
   from mutation_log where store_id is not null and seq_no is not null group by store_id, seq_no),
@@ -94,6 +113,12 @@ r as (select run_id, max(case when pub and file_size > 0 then file_size end) as
   max(case when pub then store_id end) as store_id
   from a group by run_id having bool_or(pub))"""
 
+_UNCOVERED = """l as (select attempt_id, max(store_id) as store_id, max(started_at) as started_at,
+  arg_max(coalesce(lower(trim(status)), ''), logged_at) as status from flush_attempts group by attempt_id),
+w as (select store_id, max(started_at) as mark from l where status = 'succeeded' group by store_id),
+m as (select store_id, seq_no, min(arrived_at) as at from mutation_log group by store_id, seq_no),
+u as (select m.store_id, m.seq_no, m.at from m left join w on m.store_id = w.store_id where w.mark is null or m.at > w.mark)"""
+
 ORACLE = {
     "p1_found": f"with {_MUTATIONS} select store_id, key, seq_no from n where r = 1 and not tombstone",
     "p1_state": f"with {_MUTATIONS} select store_id, key, seq_no, value from n where r = 1 and not tombstone",
@@ -101,9 +126,7 @@ ORACLE = {
     "p2_found": f"with {_RUNS} select run_id from r where not gone and bytes < 4096",
     "p2_entries": f"""with {_RUNS} select e.store_id, e.key, e.seq_no, max(e.value) as value
       from run_entries e join r on e.run_id = r.run_id and not r.gone group by e.store_id, e.key, e.seq_no""",
-    "p5_found": """with l as (select attempt_id, max(store_id) as store_id, max(started_at) as started_at,
-        arg_max(coalesce(lower(trim(status)), ''), logged_at) as status from flush_attempts group by attempt_id),
-      w as (select store_id, max(started_at) as mark from l where status = 'succeeded' group by store_id),
-      m as (select store_id, seq_no, min(arrived_at) as at from mutation_log group by store_id, seq_no)
-      select m.store_id, m.seq_no from m left join w on m.store_id = w.store_id where w.mark is null or m.at > w.mark""",
+    "p5_found": f"with {_UNCOVERED} select store_id, seq_no from u",
+    "p5_second_run": f"""with {_UNCOVERED}, c as (select make_timestamp((epoch_us(min(arrived_at)) + epoch_us(max(arrived_at))) // 2) as cut from mutation_log)
+      select store_id, seq_no from u, c where u.at is null or u.at > cut""",
 }
