@@ -46,3 +46,32 @@ def test_empty(spark, tmp_path):
     assert ledger.keys().count() == 0
     assert ledger.check(probes(spark, []), "probe_id", "none").count() == 0
     assert ledger.check(probes(spark, [(1, 1, "k"), (None, 1, "k"), (2, 1, "k")]), "probe_id", "one").collect()[0].probe_id == 2
+
+
+def test_layers_are_merged_and_split(spark, tmp_path):
+    ledger = KeyLedger(spark, f"file://{tmp_path}/l", 2, layers=2, max_bucket_bytes=1)
+    met = 0
+    for n in range(7):
+        rows = [(n * 100 + i, 1, f"k{(n * 7 + i) % 60}") for i in range(20)]
+        met += ledger.check(probes(spark, rows), "probe_id", f"b-{n}").count()
+        held = ledger.store.read()
+        assert len(held["layers"]) <= 2
+    assert met == 140 - ledger.keys().count() and ledger.keys().distinct().count() == ledger.keys().count() == 60
+    assert held["buckets"] > 2 and ledger.store.versions() == [7]
+    again = [(600 + i, 1, f"k{(42 + i) % 60}") for i in range(20)]
+    assert ledger.check(probes(spark, again), "probe_id", "b-6").count() == 15 and ledger.store.versions() == [7]
+
+
+def test_only_touched_buckets_are_read_and_nothing_stored_is_moved(spark, tmp_path, monkeypatch):
+    from tidelog.storage.buckets import Buckets
+
+    ledger = KeyLedger(spark, f"file://{tmp_path}/l", 16)
+    ledger.load(history(spark, [(1, f"k{i}") for i in range(500)]))
+    opened, plans = [], []
+    real_opened, real_write = Buckets.opened, Buckets.write
+    monkeypatch.setattr(Buckets, "opened", lambda self, *v: opened.append([len(f) for f in v]) or real_opened(self, *v))
+    monkeypatch.setattr(Buckets, "write", lambda self, rows, folder: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or real_write(self, rows, folder))
+    assert ledger.check(probes(spark, [(1, 1, "k7")]), "probe_id", "one").count() == 1
+    assert opened == [[1, 1]]
+    joined = plans[-1]
+    assert "SortMergeJoin" in joined and "Exchange" not in joined and "Sort [" not in joined
