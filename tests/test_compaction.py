@@ -39,60 +39,102 @@ def fixture(spark, n=70, seed=3):
     return runs, entries, C.resolve_runs(listings(spark, runs)), e
 
 
+def outs(c):
+    return {r.run_id: r.out_run_id for r in c.current().collect()}
+
+
+def held_after(c):
+    return {(r.out_run_id, r.store_id, r.key, r.seq_no): r.value for r in c.rewritten().collect()}
+
+
+def wanted(entries, final, live):
+    want = {}
+    for run, store, key, value, seq, _ in entries:
+        if run in live and final.get(run, run) != run:
+            k = (final[run], store, key, seq)
+            want[k] = max([v for v in (want.get(k), value) if v is not None], default=None)
+    return want
+
+
 @pytest.mark.parametrize("shard", [10_000, 5])
-def test_plan_and_rewrite(spark, tmp_path, monkeypatch, shard):
+def test_a_generation(spark, tmp_path, monkeypatch, shard):
     monkeypatch.setattr(C, "SHARD", shard)
     runs, entries, resolved, e = fixture(spark)
-    c = C.Compactor(spark, f"file://{tmp_path}/c")
-    journal = c.plan(resolved)
-    small = {r[1] for r in runs if r[3] and r[3] < 4096 and not r[6]}
-    assert {r.run_id for r in c.inputs().collect()} == small
-    final = {r.run_id: r.out_run_id for r in c.final_outputs().collect()}
-    assert set(final) == small and len(set(final.values())) < len(small) / 2
-    store_of = {r[1]: r[0] for r in runs}
-    by_out = {}
+    c = C.Compactor(spark, f"file://{tmp_path}/c").compact(resolved, e)
+    small = {r[1]: r for r in runs if r[3] and r[3] < 4096 and not r[6]}
+    assert {r.run_id for r in c.inputs().collect()} == set(small)
+    final = outs(c)
+    assert set(final) == set(small)
+    size, store_of = {}, {}
     for run, out in final.items():
-        by_out.setdefault(out, set()).add(store_of[run])
-    assert all(len(s) == 1 for s in by_out.values())
-    # nothing is planned twice: the journal of a finished plan stays as it is
-    before = sorted(map(tuple, journal.collect()), key=str)
-    again = C.Compactor(spark, f"file://{tmp_path}/c")
-    assert sorted(map(tuple, again.plan(resolved).collect()), key=str) == before
-    got = {(r.out_run_id, r.store_id, r.key, r.seq_no): r.value for r in c.rewrite(resolved, e).collect()}
+        size[out] = size.get(out, 0) + small[run][3]
+        store_of.setdefault(out, set()).add(small[run][0])
+    assert all(len(s) == 1 for s in store_of.values())
+    # no scope keeps two runs below a block, and every output is one file
+    below = [next(iter(store_of[o])) for o, n in size.items() if n < 4096]
+    assert len(below) == len(set(below))
+    assert held_after(c) == wanted(entries, final, set(small)) and {r.out_run_id: r.bytes for r in c.outputs().collect()} == {o: n for o, n in size.items() if o < 0}
+    files = list((tmp_path / "c/data/000001").glob("out_run_id=*"))
+    assert {int(f.name[11:]) for f in files} == {k[0] for k in held_after(c)} and all(len(list(f.glob("*.parquet"))) == 1 for f in files)
+    # nothing new, nothing done
+    version = c.store.read()["version"]
+    again = C.Compactor(spark, f"file://{tmp_path}/c").compact(resolved, e)
+    assert again.store.read()["version"] == version and outs(again) == final
     live = {r[1] for r in runs if not r[6]}
-    want = {}
-    for run, store, key, value, seq, _ in entries:
-        if run in live:
-            k = (final.get(run, run), store, key, seq)
-            want[k] = max([v for v in (want.get(k), value) if v is not None], default=None)
-    assert got == want
-    assert again.rewrite(resolved, e).count() == len(want)
+    kept = {(r.store_id, r.key, r.seq_no) for r in c.entries(resolved, e).collect()}
+    assert kept == {(store, key, seq) for run, store, key, _, seq, _ in entries if run in live}
+
+
+def test_a_second_generation_takes_only_new_runs(spark, tmp_path):
+    runs, entries, resolved, e = fixture(spark, 40)
+    path = f"file://{tmp_path}/c"
+    C.Compactor(spark, path).compact(resolved, e)
+    c = C.Compactor(spark, path)
+    before = outs(c)
+    more = [(1, 200 + i, f"{200 + i:06d}.sst", 700, 3, 0, False) for i in range(3)] + [(9, 300, "000300.sst", 50, 3, 0, False)]
+    added = [(r[1], r[0], "new", "v", 1000 + r[1], False) for r in more]
+    every = spark.createDataFrame([(i, *r, 0) for i, r in enumerate(entries + added)], ENTRY)
+    journal = c.plan(C.resolve_runs(listings(spark, runs + more)))
+    taken = {r.input_id for r in journal.where("original").collect()}
+    alone = {r for r, o in before.items() if r == o}
+    assert {r[1] for r in more} <= taken <= {r[1] for r in more} | alone
+    c.compact(C.resolve_runs(listings(spark, runs + more)), every)
+    after = outs(c)
+    changed = {r for r in before if after[r] != before[r]}
+    store_of = {r[1]: r[0] for r in runs + more}
+    assert {store_of[r] for r in changed} <= {1} and after[300] == 300
+    small = {r[1] for r in runs + more if r[3] and r[3] < 4096 and not r[6]}
+    assert set(after) == small and held_after(c) == wanted(entries + added, after, small)
+    assert [g["generation"] for g in c.store.read()["done"]] == [1, 2]
 
 
 def test_a_plan_goes_on_after_a_failure(spark, tmp_path, monkeypatch):
-    _, _, resolved, _ = fixture(spark)
-    whole = C.Compactor(spark, f"file://{tmp_path}/a")
-    want = sorted(map(tuple, whole.plan(resolved).collect()), key=str)
+    monkeypatch.setattr(C, "SHARD", 5)
+    _, _, resolved, e = fixture(spark)
+    whole = C.Compactor(spark, f"file://{tmp_path}/a").compact(resolved, e)
     broken = C.Compactor(spark, f"file://{tmp_path}/b")
-    real, calls = broken._plan_tier, []
+    real, calls = broken._plan_round, []
 
-    def fail(waiting, tier):
-        calls.append(tier)
-        if tier == 2 and len(calls) < 4:
+    def fail(waiting, top, folder):
+        calls.append(folder[-4:])
+        if len(calls) == 2:
             raise RuntimeError("lost")
-        real(waiting, tier)
+        real(waiting, top, folder)
 
-    monkeypatch.setattr(broken, "_plan_tier", fail)
+    monkeypatch.setattr(broken, "_plan_round", fail)
     with pytest.raises(RuntimeError):
-        broken.plan(resolved)
-    assert sorted(map(tuple, broken.plan(resolved).collect()), key=str) == want and calls == [0, 1, 2, 2]
+        broken.compact(resolved, e)
+    assert broken.inputs().count() == 0 and broken.rewritten().count() == 0
+    broken.compact(resolved, e)
+    assert calls[:3] == ["0001", "0002", "0002"] and outs(broken) == outs(whole) and held_after(broken) == held_after(whole)
 
 
 def test_empty(spark, tmp_path):
     resolved = C.resolve_runs(listings(spark, []))
-    c = C.Compactor(spark, f"file://{tmp_path}/c")
-    assert c.plan(resolved).count() == 0 and c.inputs().count() == 0
-    assert c.rewrite(resolved, spark.createDataFrame([], ENTRY)).count() == 0
+    c = C.Compactor(spark, f"file://{tmp_path}/c").compact(resolved, spark.createDataFrame([], ENTRY))
+    assert c.inputs().count() == 0 and c.rewritten().count() == 0 and c.journal().count() == 0
+    lost = C.resolve_runs(listings(spark, [(None, 1, "1.sst", 5, 1, 0, False), (None, 2, "2.sst", 5, 1, 0, False)]))
+    assert outs(c.compact(lost, spark.createDataFrame([], ENTRY))) == {1: 1, 2: 2}
 
 
 def test_two_writers_of_one_version(spark, tmp_path):
@@ -111,21 +153,21 @@ def test_rewriting_keeps_every_field(spark, tmp_path):
         (3, 1, "a", "x", 5, False, " ", "w2"), (3, 1, "a", "x", 5, False, " ", "w2"),
     ]
     e = spark.createDataFrame(rows, "run_id bigint, store_id bigint, key string, value string, seq_no bigint, tombstone boolean, value_type string, writer string")
-    c = C.Compactor(spark, f"file://{tmp_path}/c")
-    c.plan(resolved)
-    out = {r.out_run_id for r in c.final_outputs().collect()}
-    got = sorted((r.out_run_id == 3, r.key, r.seq_no, r.tombstone, r.value, r.value_type, r.writer) for r in c.rewrite(resolved, e).collect())
+    c = C.Compactor(spark, f"file://{tmp_path}/c").compact(resolved, e)
+    out = set(outs(c).values())
+    got = sorted((r.key, r.seq_no, r.tombstone, r.value, r.value_type, r.writer) for r in c.rewritten().collect())
     assert len(out) == 1
-    assert got == [(False, "a", 5, False, "x", "hex", "unknown"), (False, "b", 6, True, None, None, "w1"), (True, "a", 5, False, "x", " ", "w2")]
-
-
-def test_tiny_runs_are_merged_to_the_end(spark, tmp_path):
-    resolved = C.resolve_runs(listings(spark, [(1, r, f"{r:06d}.sst", 16, 1, 0, False) for r in range(1, 301)] + [(2, 900, "000900.sst", 16, 1, 0, False)]))
-    c = C.Compactor(spark, f"file://{tmp_path}/c")
-    before = c.plan(resolved).count()
-    size = {}
-    for r in c.final_outputs().collect():
-        size[r.out_run_id] = size.get(r.out_run_id, 0) + 16
-    assert sum(size.values()) == 301 * 16 and size[900] == 16
-    assert sum(n < 4096 for out, n in size.items() if out != 900) <= 1
-    assert C.Compactor(spark, f"file://{tmp_path}/c").plan(resolved).count() == before
+    assert got == [("a", 5, False, "x", "hex", "unknown"), ("b", 6, True, None, None, "w1")]
+
+
+def test_levels():
+    runs = lambda sizes: [C.Run(i, n, 1, 0, True) for i, n in enumerate(sizes, 1)]
+    for sizes in ([16] * 300, [200] * 3 + [800] * 3 + [1100] * 3, [4000, 4000, 200], [4000, 4050], [3000] * 7, [1], list(range(1, 4000, 37))):
+        rows = C.merge_levels(runs(sizes), 4096, 4, 256)
+        assert rows == C.merge_levels(runs(sizes)[::-1], 4096, 4, 256)
+        size = {}
+        for r in rows:
+            if not r[9]:
+                size[r[4]] = size.get(r[4], 0) + r[5]
+        assert sum(size.values()) == sum(sizes) and sum(n < 4096 for n in size.values()) <= 1
+        assert len(size) <= sum(sizes) // 4096 + 1

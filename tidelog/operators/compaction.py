@@ -1,46 +1,55 @@
 """Far too many small files: size-tiered incremental compaction with a journal.
 
-``resolve_runs`` makes one row per run out of its listings. ``Compactor.plan`` merges
-runs of one scope that are similar in size, tier by tier from the smallest: in each
-tier every ``fan_in`` runs are one transaction, whose output enters the tier of its
-size; runs left over wait in the next tier, and the last tier merges what is left. It is
-repeated, under the next numbers, until no scope has two runs below a block.
-Each tier is written to the journal (transaction, input, output) and published by a
-manifest before the next one is looked at, so a restarted plan takes up after the
-last published tier; a transaction's id follows from its inputs, so planning a tier
-again gives the same rows. ``Compactor.rewrite`` moves every entry straight to the
-final output of its run, once, and publishes the files.
-
-Large scopes: the runs of one scope and tier are cut into shards by a hash of the run
-id, about ``SHARD`` runs each, and grouped within a shard only; no task holds more.
+``resolve_runs`` makes one row per run out of its listings. ``Compactor.compact`` carries
+out one generation: it takes the small runs that no generation considered before, and with
+them what earlier ones left below a block in the same scopes; plans their merging level by
+level; writes each final output as one file with the entries of its inputs; and publishes
+journal and files in one manifest. Other runs and earlier outputs are neither read nor
+written. A second generation without new small runs does nothing.
+
+Levels: runs of one scope that are similar in size are merged ``fan_in`` at a time, from the
+smallest size tier up; what is left below a block is packed by bytes, largest first, into
+as many groups as it fills blocks, until a scope has at most one run below a block. Every
+merge is a transaction of the journal, one row per input. Its id follows from its inputs,
+so planning again gives the same rows; a planned round that is published is taken up, not
+planned again, by a restart. A small run without a partner has a row without a transaction.
+
+The merging of one scope is a fold over sizes, run by one task per scope over metadata
+only. A scope of more than ``SHARD`` runs is cut into shards by a hash of the run id; what
+the shards leave meets in further rounds, so no task holds more.
 
 Defined results: a listing is published if its file name, without folder, blanks and
 case, ends in ``.sst``; other listings count for nothing but ``removed_at``. Sizes and
 counts that are null, zero or negative say nothing. A run without a usable size is not
-small and is never merged. Entries of one run with equal key and sequence number are
-copies: within one output they become one entry that has each field if any copy has it;
-a stand-in for a type or writer only remains where no copy names one. Null run ids are
-ignored; empty tables give empty plans; other columns are ignored.
+small and is never merged; nor is one without a scope. Entries of one run with equal key and
+sequence number are copies: within one output they become one entry that has each field if
+any copy has it (of different ones the greatest); a stand-in for a type or writer only
+remains where no copy names one. Null run ids are ignored; empty tables give empty plans;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
+import hashlib
+import heapq
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.joins import lookup_join
 from tidelog.storage.manifest import ManifestStore
+from tidelog.storage.workspace import materialise
 
 #: Bytes of a block; a run below it is small.
 BLOCK = 4096
-#: About as many runs of one scope and tier are grouped together.
+#: About as many runs of one scope are merged in one task.
 SHARD = 10_000
-JOURNAL = "tier int, txn_id bigint, store_id bigint, input_id bigint, output_id bigint, bytes bigint, entries bigint, level bigint, original boolean"
+RUN = "store_id bigint, run_id bigint, bytes bigint, entries bigint, level bigint, original boolean"
+JOURNAL = "store_id bigint, tier int, txn_id bigint, input_id bigint, output_id bigint, final_id bigint, bytes bigint, entries bigint, level bigint, original boolean, made boolean"
 #: What an entry holds besides its place: copies are combined field by field.
-FIELDS = ("tombstone", "value", "value_type", "writer")
+FIELDS = {"entry_id": "bigint", "tombstone": "boolean", "value": "string", "value_type": "string", "writer": "string"}
 #: Stand-ins for "not known", compared trimmed and without case.
 STAND_INS = ("", "-", "--", "?", "n/a", "na", "none", "null", "nil", "unknown", "unk", "not known", "undefined")
 
@@ -81,140 +90,253 @@ def live_small(runs: DataFrame, block: int = BLOCK) -> Column:
     return ~F.col("removed") & F.coalesce(F.col("bytes") < block, F.lit(False))
 
 
+@dataclass
+class Run:
+    id: int
+    bytes: int
+    entries: int
+    level: int
+    original: bool
+    made: bool = False
+
+
+def output_id(inputs: list[int]) -> int:
+    """Negative, so that it never meets the id of a run on disk; follows from the inputs."""
+    digest = hashlib.blake2b(",".join(map(str, sorted(inputs))).encode(), digest_size=8).digest()
+    return -(int.from_bytes(digest, "big") >> 2) - 1
+
+
+def packed(runs: list[Run], block: int) -> list[list[Run]]:
+    """Runs by bytes, largest first, each into the emptiest of as many groups as they fill
+    blocks."""
+    groups = [(0, i, []) for i in range(max(1, sum(r.bytes for r in runs) // block))]
+    for r in sorted(runs, key=lambda r: (-r.bytes, r.id)):
+        size, i, held = heapq.heappop(groups)
+        heapq.heappush(groups, (size + r.bytes, i, [*held, r]))
+    return [g for _, _, g in sorted(groups, key=lambda g: g[1]) if g]
+
+
+def merge_levels(runs: list[Run], block: int, fan_in: int, smallest: int) -> list[tuple]:
+    """The journal of one scope: (tier, txn, input, output, final output, ...) rows."""
+    waiting, merges = list(runs), []
+
+    def merge(tier: int, group: list[Run]) -> None:
+        out = Run(output_id([r.id for r in group]), sum(r.bytes for r in group), sum(r.entries for r in group), 1 + max(r.level for r in group), False, True)
+        merges.append((tier, group, out))
+        taken = {r.id for r in group}
+        waiting[:] = [r for r in waiting if r.id not in taken] + ([out] if out.bytes < block else [])
+
+    tier, limit = 0, smallest
+    while limit < block:
+        due = sorted((r for r in waiting if r.bytes <= limit), key=lambda r: (r.bytes, r.id))
+        for i in range(0, len(due) - fan_in + 1, fan_in):
+            merge(tier, due[i : i + fan_in])
+        tier, limit = tier + 1, limit * fan_in
+    while len(waiting) > 1:
+        for group in packed(waiting, block):
+            if len(group) > 1:
+                merge(tier, group)
+        tier += 1
+    final: dict[int, int] = {}
+    for _, group, out in reversed(merges):
+        for r in group:
+            final[r.id] = final.get(out.id, out.id)
+    rows = [
+        (t, out.id, r.id, out.id, final[r.id], r.bytes, r.entries, r.level, r.original, r.made) for t, group, out in merges for r in group
+    ]
+    return rows + [(tier, None, r.id, r.id, r.id, r.bytes, r.entries, r.level, r.original, r.made) for r in waiting]
+
+
 class Compactor:
-    """Plans and carries out the merging of small runs; see the module text."""
+    """Generations of merging small runs; see the module text. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, fan_in: int = 4, smallest: int = 256):
         self.spark, self.path = spark, path.rstrip("/")
         self.block, self.fan_in, self.smallest = block, fan_in, smallest
-        #: Tier t holds sizes below smallest * fan_in ** t; the last one ends at a block.
-        self.tiers = max(1, math.ceil(math.log(block / smallest, fan_in)) + 1)
         self.store = ManifestStore(spark, path)
 
-    def _tier(self, size: Column) -> Column:
-        t = F.ceil(F.log(size / F.lit(float(self.smallest))) / math.log(self.fan_in))
-        return F.greatest(F.lit(0), t).cast("int")
+    def _held(self) -> dict:
+        return self.store.read() or {"version": 0, "done": [], "open": None}
 
-    def _load(self, tier: int, part: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{part}/tier={tier}")
+    def _commit(self, held: dict, **change) -> dict:
+        done = self.store.commit(held["version"] + 1, {**held, **change})
+        self.store.expire(2, lambda m: set())
+        return done
 
-    def plan(self, runs: DataFrame) -> DataFrame:
-        """The journal: one row per input of a transaction. A small run for which no
-        partner exists has a row whose output is itself."""
-        held = self.store.read() or {"version": 0, "tiers": [], "rewritten": None}
-        open_schema = "store_id bigint, run_id bigint, bytes bigint, entries bigint, level bigint, original boolean"
-        waiting = (
-            runs.where(live_small(runs, self.block))
-            .select("store_id", "run_id", "bytes", F.coalesce("entries", F.lit(0)).alias("entries"),
-                    F.coalesce("level", F.lit(0)).alias("level"), F.lit(True).alias("original"))
+    def _load(self, folder: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{folder}")
+
+    # -- planning
+
+    def _candidates(self, runs: DataFrame, held: dict) -> DataFrame:
+        small = runs.where(live_small(runs, self.block)).select(
+            "store_id", "run_id", "bytes", F.coalesce("entries", F.lit(0)).alias("entries"), F.coalesce("level", F.lit(0)).alias("level"),
+            F.lit(True).alias("original"),
         )
-        for tier in itertools.count():
-            if tier >= self.tiers and waiting.groupBy("store_id").count().where("count > 1").isEmpty():
-                break
-            if tier not in held["tiers"]:
-                self._plan_tier(waiting, tier)
-                held = self.store.commit(held["version"] + 1, {**held, "tiers": [*held["tiers"], tier]})
-            waiting = self._load(tier, "open", open_schema)
-        return self.journal()
-
-    def _plan_tier(self, waiting: DataFrame, tier: int) -> None:
-        last = tier >= self.tiers - 1
-        here = F.lit(True) if last else self._tier(F.col("bytes")) <= tier
-        due = waiting.where(here)
-        shards = due.groupBy("store_id").agg(F.ceil(F.count("*") / SHARD).alias("shards"))
-        cut = lookup_join(due, shards, ["store_id"], "left", spread="run_id", name="shards").withColumn(
-            "shard", F.pmod(F.hash("run_id"), F.greatest(F.col("shards"), F.lit(1)).cast("int"))
-        )
-        by = Window.partitionBy("store_id", "shard")
-        ranked = cut.withColumn("rank", F.row_number().over(by.orderBy("bytes", "run_id")) - 1).withColumn(
-            "count", F.count("*").over(by)
+        if not held["done"]:
+            return small
+        current = self.current()
+        fresh = small.join(current, "run_id", "left_anti")
+        scopes = fresh.select("store_id").distinct()
+        alone = small.join(current.where("run_id = out_run_id"), "run_id", "left_semi")
+        left = self.outputs().where(F.col("bytes") < self.block).select(
+            "store_id", F.col("out_run_id").alias("run_id"), "bytes", "entries", "level", F.lit(False).alias("original")
         )
-        full = F.floor(F.col("rank") / self.fan_in)
-        if last:
-            # a lone rest joins the group before it
-            groups = F.greatest(F.lit(1), F.ceil(F.col("count") / self.fan_in) - (F.col("count") % self.fan_in == 1).cast("int"))
-            group, merged = F.least(full, groups - 1), F.col("count") > 1
+        return fresh.unionByName(alone.unionByName(left).join(scopes, "store_id", "left_semi"))
+
+    def plan(self, runs: DataFrame) -> DataFrame:
+        """Plan a generation, or go on with one that is planned in part; returns its
+        journal, empty if there is nothing new."""
+        held = self._held()
+        if held["open"] is None:
+            generation = len(held["done"]) + 1
+            folder = f"candidates/{generation:06d}"
+            self._candidates(runs, held).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+            if self._load(folder, RUN).isEmpty():
+                return self.spark.createDataFrame([], JOURNAL)
+            held = self._commit(held, open={"generation": generation, "rounds": 0, "over": False})
+        while not held["open"]["over"]:
+            generation, n = held["open"]["generation"], held["open"]["rounds"] + 1
+            waiting = self._load(f"candidates/{generation:06d}", RUN) if n == 1 else self._left(generation, n - 1)
+            top = waiting.groupBy("store_id").count().agg(F.max("count")).first()[0] or 0
+            self._plan_round(waiting, top, f"journal/{generation:06d}/{n:04d}")
+            held = self._commit(held, open={"generation": generation, "rounds": n, "over": top <= SHARD})
+        return self._journal(held["open"]["generation"], held["open"]["rounds"])
+
+    def _left(self, generation: int, n: int) -> DataFrame:
+        rows = self._load(f"journal/{generation:06d}/{n:04d}", JOURNAL).where("txn_id is null and store_id is not null")
+        return rows.select("store_id", F.col("input_id").alias("run_id"), "bytes", "entries", "level", "original")
+
+    def _plan_round(self, waiting: DataFrame, top: int, folder: str) -> None:
+        if top > SHARD:
+            sizes = waiting.groupBy("store_id").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
+            cut = lookup_join(waiting, sizes, ["store_id"], "left", spread="run_id", name="shards").withColumn(
+                "shard", F.coalesce(F.pmod(F.hash("run_id"), F.col("shards")), F.lit(0))
+            )
         else:
-            group, merged = full, full < F.floor(F.col("count") / self.fan_in)
-        grouped = ranked.withColumn("group", group).withColumn("merged", merged)
-        of = Window.partitionBy("store_id", "shard", "group")
-        # Ids of outputs are negative, so they never meet those of runs on disk.
-        named = F.xxhash64(F.lit(tier), "store_id", F.min("run_id").over(of), F.max("run_id").over(of), F.bit_xor("run_id").over(of))
-        made = -named.bitwiseAND(F.lit((1 << 62) - 1)) - 1
-        journal = grouped.withColumn("made", made).select(
-            F.lit(tier).alias("tier"),
-            F.when(F.col("merged"), F.col("made")).alias("txn_id"),
-            "store_id",
-            F.col("run_id").alias("input_id"),
-            F.when(F.col("merged"), F.col("made")).otherwise(F.col("run_id")).alias("output_id"),
-            "bytes", "entries", "level", "original",
-        )
-        journal.write.mode("overwrite").parquet(f"{self.path}/journal/tier={tier}")
-        done = self._load(tier, "journal", JOURNAL)
-        outputs = (
-            done.where("txn_id is not null").groupBy("store_id", "output_id")
-            .agg(F.sum("bytes").alias("bytes"), F.sum("entries").alias("entries"), (F.max("level") + 1).alias("level"))
-            .where(F.col("bytes") < self.block)
-            .select("store_id", F.col("output_id").alias("run_id"), "bytes", "entries", "level", F.lit(False).alias("original"))
-        )
-        carried = done.where("txn_id is null").select(
-            "store_id", F.col("input_id").alias("run_id"), "bytes", "entries", "level", "original"
-        )
-        later = waiting.where(~here)
-        outputs.unionByName(carried).unionByName(later).write.mode("overwrite").parquet(f"{self.path}/open/tier={tier}")
+            cut = waiting.withColumn("shard", F.lit(0))
+        block, fan_in, smallest = self.block, self.fan_in, self.smallest
+        names = [c.split()[0] for c in JOURNAL.split(", ")]
+
+        def levels(pdf: pd.DataFrame) -> pd.DataFrame:
+            store = pdf["store_id"].iloc[0]
+            runs = [Run(*map(int, r[:4]), bool(r[4]), r[0] < 0 and not r[4]) for r in zip(*(pdf[c] for c in ("run_id", "bytes", "entries", "level", "original")))]
+            if pd.isna(store):
+                rows = [(0, None, r.id, r.id, r.id, r.bytes, r.entries, r.level, r.original, r.made) for r in runs]
+            else:
+                rows = merge_levels(runs, block, fan_in, smallest)
+            out = pd.DataFrame([(None if pd.isna(store) else int(store), *r) for r in rows], columns=names)
+            return out.astype({"store_id": "Int64", "txn_id": "Int64"})
+
+        cut.select(*[c.split()[0] for c in RUN.split(", ")], "shard").groupBy("store_id", "shard").applyInPandas(levels, JOURNAL).write.mode(
+            "overwrite"
+        ).parquet(f"{self.path}/{folder}")
+
+    # -- the journal
+
+    def _journal(self, generation: int, rounds: int) -> DataFrame:
+        return self.spark.read.schema(JOURNAL).parquet(*[f"{self.path}/journal/{generation:06d}/{n:04d}" for n in range(1, rounds + 1)])
 
     def journal(self) -> DataFrame:
-        """All rows of the published tiers."""
-        held = self.store.read()
-        tiers = held["tiers"] if held else []
-        if not tiers:
-            return self.spark.createDataFrame([], JOURNAL)
-        return self.spark.read.schema(JOURNAL).option("basePath", f"{self.path}/journal").parquet(
-            *[f"{self.path}/journal/tier={t}" for t in tiers]
-        ).select(*[c.split()[0] for c in JOURNAL.split(", ")])
+        """All rows of the published generations."""
+        out = self.spark.createDataFrame([], JOURNAL)
+        for g in self._held()["done"]:
+            out = out.unionByName(self._journal(g["generation"], g["rounds"]))
+        return out
+
+    def _moves(self, generation: int, rounds: int) -> DataFrame:
+        """(run_id, out_run_id, original) of a generation's inputs."""
+        first = self._load(f"journal/{generation:06d}/{1:04d}", JOURNAL)
+        taken = self._load(f"candidates/{generation:06d}", RUN).select("run_id")
+        at = first.join(taken, first["input_id"] == taken["run_id"], "left_semi").select(
+            F.col("input_id").alias("run_id"), F.col("final_id").alias("out_run_id"), "original"
+        )
+        for n in range(2, rounds + 1):
+            step = self._load(f"journal/{generation:06d}/{n:04d}", JOURNAL).select(F.col("input_id").alias("out_run_id"), F.col("final_id").alias("next"))
+            at = at.join(step, "out_run_id", "left").select("run_id", F.coalesce("next", "out_run_id").alias("out_run_id"), "original")
+        return at
+
+    def current(self) -> DataFrame:
+        """(run_id, out_run_id): for each small run considered so far the run that has its
+        entries now; itself if it had no partner."""
+        done = self._held()["done"]
+        if not done:
+            return self.spark.createDataFrame([], "run_id bigint, out_run_id bigint")
+        return self._load(f"current/{done[-1]['generation']:06d}", "run_id bigint, out_run_id bigint")
 
     def inputs(self) -> DataFrame:
-        """The runs on disk that the journal names as inputs: all small live runs."""
+        """The runs on disk that the published generations took: all small live runs."""
         return self.journal().where("original").select(F.col("input_id").alias("run_id")).distinct()
 
-    def final_outputs(self) -> DataFrame:
-        """(run_id, out_run_id): for each small run on disk the run that has its
-        entries in the end; found by following the journal tier by tier."""
-        journal = self.journal()
-        tiers = (self.store.read() or {"tiers": []})["tiers"]
-        steps = [journal.where(F.col("tier") == t).select("input_id", "output_id") for t in tiers]
-        at = journal.where("original").groupBy("input_id").agg(F.min("tier").alias("from_tier"))
-        at = at.select(F.col("input_id").alias("run_id"), F.col("input_id").alias("out_run_id"))
-        for step in steps:
-            moved = step.select(F.col("input_id").alias("out_run_id"), F.col("output_id").alias("next"))
-            at = at.join(moved, "out_run_id", "left").select("run_id", F.coalesce("next", "out_run_id").alias("out_run_id"))
-        return at
+    def outputs(self) -> DataFrame:
+        """(store_id, out_run_id, bytes, entries, level) of the outputs in force, with the
+        sums that the journal has."""
+        live = self.current().where("run_id <> out_run_id").select("out_run_id").distinct()
+        made = (
+            self.journal().where("txn_id is not null").groupBy("store_id", F.col("output_id").alias("out_run_id"))
+            .agg(F.sum("bytes").alias("bytes"), F.sum("entries").alias("entries"), (F.max("level") + 1).alias("level"))
+        )
+        return made.join(live, "out_run_id", "left_semi").select("store_id", "out_run_id", "bytes", "entries", "level")
 
-    def rewrite(self, runs: DataFrame, entries: DataFrame) -> DataFrame:
-        """Write the entries of all live runs, those of small ones under their final
-        output, copies within an output combined, and publish the files. Done once;
-        afterwards the published files are read."""
-        held = self.store.read()
-        if not held["rewritten"]:
-            live = runs.where("not removed").select("run_id")
-            target = live.join(self.final_outputs(), "run_id", "left").select(
-                "run_id", F.coalesce("out_run_id", "run_id").alias("out_run_id")
-            )
-            fields = [c for c in FIELDS if c in entries.columns]
-            placed = lookup_join(
-                entries.select("run_id", "store_id", "key", "seq_no", *fields),
-                target, ["run_id"], "inner", spread="seq_no", name="targets",
-            )
-            # a known label sorts after a stand-in
-            label = lambda c: F.concat(F.when(known(c), "1").otherwise("0"), F.col(c))
-            best = lambda c: F.max(label(c)).substr(F.lit(2), F.lit(1 << 30)) if c in ("value_type", "writer") else F.max(c)
-            folder = "data/0000000001"
-            (
-                placed.groupBy("out_run_id", "store_id", "key", "seq_no")
-                .agg(*[best(c).alias(c) for c in fields])
-                .repartitionByRange("store_id", "out_run_id", "key")
-                .sortWithinPartitions("store_id", "out_run_id", "key", F.desc("seq_no"))
-                .write.mode("overwrite").parquet(f"{self.path}/{folder}")
-            )
-            held = self.store.commit(held["version"] + 1, {**held, "rewritten": folder})
-        return self.spark.read.parquet(f"{self.path}/{held['rewritten']}")
+    # -- carrying out
+
+    def compact(self, runs: DataFrame, entries: DataFrame) -> Compactor:
+        """One generation: plan it, write its outputs, publish."""
+        if not self.plan(runs).isEmpty():
+            held = self._held()
+            generation, rounds = held["open"]["generation"], held["open"]["rounds"]
+            moves = materialise(self._moves(generation, rounds), "moves")
+            self._rewrite(moves.where("run_id <> out_run_id"), entries, f"data/{generation:06d}")
+            step = moves.select(F.col("run_id").alias("out_run_id"), F.col("out_run_id").alias("next"))
+            before = self.current()
+            now = before.join(step, "out_run_id", "left").select("run_id", F.coalesce("next", "out_run_id").alias("out_run_id"))
+            new = moves.where("original").join(before, "run_id", "left_anti").select("run_id", "out_run_id")
+            now.unionByName(new).write.mode("overwrite").parquet(f"{self.path}/current/{generation:06d}")
+            self._commit(held, open=None, done=[*held["done"], {"generation": generation, "rounds": rounds}])
+        return self
+
+    def _rewrite(self, moves: DataFrame, entries: DataFrame, folder: str) -> None:
+        """One sorted file per output, with the entries of its inputs and no others. An
+        output is of about a block, so it is never too much for a task; copies are combined
+        before they are brought together."""
+        columns = ["store_id", "key", "seq_no", *FIELDS]
+        absent = [F.lit(None).cast(t).alias(c) for c, t in FIELDS.items() if c not in entries.columns]
+        source = entries.select("run_id", *[c for c in columns if c in entries.columns], *absent)
+        targets = moves.select("run_id", "out_run_id")
+        placed = lookup_join(source, targets, ["run_id"], "inner", spread="seq_no", name="targets")
+        if self._held()["done"]:
+            earlier = self._files().select(F.col("out_run_id").alias("run_id"), *columns)
+            placed = placed.unionByName(lookup_join(earlier, targets, ["run_id"], "inner", spread="seq_no", name="targets"))
+        # a known label sorts after a stand-in
+        label = lambda c: F.concat(F.when(known(c), "1").otherwise("0"), F.col(c))
+        best = lambda c: F.max(label(c)).substr(F.lit(2), F.lit(1 << 30)) if c in ("value_type", "writer") else F.max(c)
+        (
+            placed.groupBy("out_run_id", "store_id", "key", "seq_no").agg(*[best(c).alias(c) for c in FIELDS])
+            .repartition("out_run_id").sortWithinPartitions("out_run_id", "store_id", "key", F.desc("seq_no"))
+            .write.mode("overwrite").partitionBy("out_run_id").parquet(f"{self.path}/{folder}")
+        )
+
+    def _files(self) -> DataFrame:
+        fields = ", ".join(f"{c} {t}" for c, t in FIELDS.items())
+        schema = f"store_id bigint, key string, seq_no bigint, {fields}, out_run_id bigint"
+        out = self.spark.createDataFrame([], schema)
+        for g in self._held()["done"]:
+            path = f"{self.path}/data/{g['generation']:06d}"
+            out = out.unionByName(self.spark.read.schema(schema).option("basePath", path).parquet(path))
+        return out
+
+    def rewritten(self) -> DataFrame:
+        """The entries of the outputs in force: out_run_id, store_id, key, seq_no and fields."""
+        rows = self._files()
+        if len(self._held()["done"]) < 2:
+            return rows
+        live = self.current().where("run_id <> out_run_id").select("out_run_id").distinct()
+        return lookup_join(rows, live, ["out_run_id"], "left_semi", name="live")
+
+    def entries(self, runs: DataFrame, entries: DataFrame) -> DataFrame:
+        """(out_run_id, store_id, key, seq_no, value) of all live runs after compaction:
+        outputs in force, and the entries on disk of the runs that weren't merged."""
+        merged = self.current().where("run_id <> out_run_id").select("run_id")
+        kept = runs.where("not removed").select("run_id").join(merged, "run_id", "left_anti")
+        rest = lookup_join(entries.select("run_id", "store_id", "key", "seq_no", "value"), kept, ["run_id"], "left_semi", name="kept")
+        return self.rewritten().select("out_run_id", "store_id", "key", "seq_no", "value").unionByName(rest.withColumnRenamed("run_id", "out_run_id"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.operators.changes import BucketedTable
-from tidelog.operators.compaction import Compactor, resolve_runs
+from tidelog.operators.compaction import BLOCK, Compactor, live_small, resolve_runs
 from tidelog.operators.incremental import CommitLog, IncrementalReader, last_success
+from tidelog.operators.joins import lookup_join
 from tidelog.sources.tables import table
 from tidelog.storage.workspace import new_folder
 
@@ -44,36 +45,49 @@ def p1_at_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.state().select("store_id", "key", "seq_no", "value")
 
 
+def _compacted(spark: SparkSession, sf_dir: str) -> tuple[Compactor, DataFrame, DataFrame]:
+    runs, entries = resolve_runs(table(spark, sf_dir, "table_handles")), table(spark, sf_dir, "run_entries")
+    return Compactor(spark, new_folder(spark, "compaction")).compact(runs, entries), runs, entries
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    compactor = Compactor(spark, new_folder(spark, "compaction"))
-    compactor.plan(resolve_runs(table(spark, sf_dir, "table_handles")))
-    return compactor.inputs()
+    """The runs that the committed compaction took as inputs."""
+    return _compacted(spark, sf_dir)[0].inputs()
 
 
 def p2_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rewritten runs as they are: every entry of every output, with all its fields."""
-    runs = resolve_runs(table(spark, sf_dir, "table_handles"))
-    compactor = Compactor(spark, new_folder(spark, "compaction"))
-    compactor.plan(runs)
-    return compactor.rewrite(runs, table(spark, sf_dir, "run_entries"))
+    """The outputs as they are: every entry of every output, with all its fields."""
+    return _compacted(spark, sf_dir)[0].rewritten()
 
 
 def p2_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distinct entries on disk after the compaction."""
-    done = p2_rewritten(spark, sf_dir)
-    return done.groupBy("store_id", "key", "seq_no").agg(F.max("value").alias("value"))
+    compactor, runs, entries = _compacted(spark, sf_dir)
+    return compactor.entries(runs, entries).groupBy("store_id", "key", "seq_no").agg(F.max("value").alias("value"))
 
 
 def p2_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per store the numbers of live runs before and after, and of their entries."""
-    runs = resolve_runs(table(spark, sf_dir, "table_handles"))
-    compactor = Compactor(spark, new_folder(spark, "compaction"))
-    compactor.plan(runs)
-    moved = runs.where("not removed").join(compactor.final_outputs(), "run_id", "left")
-    return moved.groupBy("store_id").agg(
-        F.count("*").alias("runs_before"),
-        F.count_distinct(F.coalesce("out_run_id", "run_id")).alias("runs_after"),
+    """Per store with small runs: their number, bytes and entries, bytes and entries of the
+    outputs, and whether these fill their blocks (none but one is below a block, and there
+    are no more than blocks are full, and one)."""
+    compactor, runs, entries = _compacted(spark, sf_dir)
+    small = runs.where(live_small(runs)).select("run_id", "store_id", "bytes")
+    before = small.groupBy("store_id").agg(F.count("*").alias("runs_before"), F.sum("bytes").alias("bytes_before"))
+    alone = compactor.current().where("run_id = out_run_id").select("run_id").join(small, "run_id").select("store_id", F.col("run_id").alias("out_run_id"), "bytes")
+    after = compactor.outputs().select("store_id", "out_run_id", "bytes").unionByName(alone).groupBy("store_id").agg(
+        F.sum("bytes").alias("bytes_after"), F.count_if(F.col("bytes") < BLOCK).alias("below"), F.count("*").alias("runs_after")
     )
+    taken = compactor.current().select("out_run_id").distinct()
+    kinds = lambda rows: rows.select("store_id", "key", "seq_no").distinct().groupBy("store_id").agg(F.count("*").alias("n"))
+    held = kinds(lookup_join(entries.select("run_id", "store_id", "key", "seq_no"), small.select("run_id"), ["run_id"], "left_semi", name="small"))
+    kept = kinds(lookup_join(compactor.entries(runs, entries), taken, ["out_run_id"], "left_semi", name="taken"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint"))
+    return (
+        before.join(after, "store_id", "left")
+        .join(held.withColumnRenamed("n", "entries_before"), "store_id", "left").join(kept.withColumnRenamed("n", "entries_after"), "store_id", "left")
+        .select("store_id", "runs_before", "bytes_before", "bytes_after", zero("entries_before").alias("entries_before"), zero("entries_after").alias("entries_after"),
+                ((F.col("below") <= 1) & (F.col("runs_after") <= F.floor(F.col("bytes_before") / BLOCK) + 1)).alias("filled"))
+    )
 
 
 def _runs_of_two(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -126,6 +140,11 @@ ORACLE = {
     "p2_found": f"with {_RUNS} select run_id from r where not gone and bytes < 4096",
     "p2_entries": f"""with {_RUNS} select e.store_id, e.key, e.seq_no, max(e.value) as value
       from run_entries e join r on e.run_id = r.run_id and not r.gone group by e.store_id, e.key, e.seq_no""",
+    "p2_outputs": f"""with {_RUNS}, s as (select * from r where not gone and bytes < 4096),
+      b as (select store_id, count(*) as runs_before, cast(sum(bytes) as bigint) as bytes_before from s group by store_id),
+      d as (select store_id, count(*) as n from (select distinct e.store_id, e.key, e.seq_no from run_entries e join s on e.run_id = s.run_id) group by store_id)
+      select b.store_id, runs_before, bytes_before, bytes_before as bytes_after, coalesce(n, 0) as entries_before, coalesce(n, 0) as entries_after,
+      true as filled from b left join d on b.store_id = d.store_id""",
     "p5_found": f"with {_UNCOVERED} select store_id, seq_no from u",
     "p5_second_run": f"""with {_UNCOVERED}, c as (select make_timestamp((epoch_us(min(arrived_at)) + epoch_us(max(arrived_at))) // 2) as cut from mutation_log)
       select store_id, seq_no from u, c where u.at is null or u.at > cut""",
