@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.glyphs import consistent_text, look_alike_pairs
 from tidelog.llm.leaks import leaks
 from tidelog.llm.ledger import KeyLedger
-from tidelog.llm.survivor import Bundle, known, survivors, survivors_by_id
+from tidelog.llm.survivor import Bundle, known, survivors
 from tidelog.llm.tokens import encode
 from tidelog.operators.compaction import resolve_runs
 from tidelog.operators.joins import lookup_join
@@ -38,13 +38,11 @@ TRUST = ("seq_no", "level", "entry_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked_entries(spark, sf_dir).na.drop(subset=["store_id", "key"])
+    """The sources of the survivors' fields. No field depends on another here, so the bound
+    is reached at the root of every group and the search ends there."""
     bundles = [Bundle(n, (n,), c) for n, c in _present().items()]
-    return (
-        survivors_by_id(rows, ["store_id", "key"], bundles, TRUST, "entry_id")
-        .where("n > 1")
-        .select("store_id", "key", "entry_id", "value_entry_id", "value_type_entry_id", "writer_entry_id")
-    )
+    found = survivors(_ranked_entries(spark, sf_dir), ["store_id", "key"], bundles, TRUST, "entry_id", values=False)
+    return found.where("n > 1").select("store_id", "key", "entry_id", "value_entry_id", "value_type_entry_id", "writer_entry_id")
 
 
 def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +112,8 @@ def _label(c: str) -> str:
     return f"{c} is not null and lower(trim({c})) not in ('', '-', '?', 'n/a', 'none', 'unknown')"
 
 
+_UNIT = 1 << 40  # trust of a best candidate
+
 _FIRST = "coalesce(arg_max(entry_id, (seq_no, lv, entry_id)) filter (where {}), 0)"
 
 ORACLE = {
@@ -121,6 +121,26 @@ ORACLE = {
       {_FIRST.format("value is not null or tombstone")} as value_entry_id,
       {_FIRST.format(_label("value_type"))} as value_type_entry_id, {_FIRST.format(_label("writer"))} as writer_entry_id
       from e group by store_id, key having count(*) > 1""",
+    "p3_records": f"""with {_LEVELS}, t as (select store_id, key, entry_id, value, tombstone, writer,
+        case when {_label("value_type")} then lower(trim(value_type)) end as value_type, value is not null or coalesce(tombstone, false) as hv, {_label("writer")} as hw,
+        row_number() over (partition by store_id, key order by seq_no desc nulls last, lv desc, entry_id desc) as pos
+        from e where store_id is not null and key is not null),
+      g as (select store_id, key, arg_min(entry_id, pos) as entry_id, coalesce(arg_min(entry_id, pos) filter (where hw), 0) as writer_entry_id,
+        arg_min(writer, pos) filter (where hw) as writer from t group by store_id, key),
+      v as (select *, row_number() over (partition by store_id, key order by pos) as rank from (select store_id, key, value, tombstone,
+        arg_min(entry_id, pos) as id, min(pos) as pos from t where hv group by store_id, key, value, tombstone)),
+      y as (select *, row_number() over (partition by store_id, key order by pos) as rank from (select store_id, key, value_type,
+        arg_min(entry_id, pos) as id, min(pos) as pos from t where value_type is not null group by store_id, key, value_type)),
+      p as (select distinct store_id, key, value, value_type from t where value is not null and value_type is not null),
+      c as (select v.store_id, v.key, v.rank as a, y.rank as b from v join y on v.store_id = y.store_id and v.key = y.key
+          left join p on p.store_id = v.store_id and p.key = v.key and p.value = v.value and p.value_type = y.value_type
+          where v.value is null or p.value is not null
+        union all select store_id, key, rank, null from v union all select store_id, key, null, rank from y),
+      d as (select *, row_number() over (partition by store_id, key order by coalesce({_UNIT} // a, 0) + coalesce({_UNIT} // b, 0) desc, a nulls last, b nulls last) as r from c)
+      select g.store_id, g.key, g.entry_id, coalesce(v.id, 0) as value_entry_id, coalesce(y.id, 0) as value_type_entry_id, g.writer_entry_id,
+        v.value, v.tombstone, y.value_type, g.writer
+      from g left join d on d.store_id = g.store_id and d.key = g.key and d.r = 1
+      left join v on v.store_id = g.store_id and v.key = g.key and v.rank = d.a left join y on y.store_id = g.store_id and y.key = g.key and y.rank = d.b""",
     "p4_found": """select probe_id from probe_keys p where key is not null and (
       exists (select 1 from mutation_log m where m.store_id = p.store_id and m.key = p.key)
       or exists (select 1 from probe_keys q where q.store_id = p.store_id and q.key = p.key and q.probe_id < p.probe_id))""",
