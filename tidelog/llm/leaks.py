@@ -2,29 +2,32 @@
 
 A test item is short and a document long, so the Jaccard similarity of their shingle
 sets says little; asked is containment. As in size-partitioned MinHash search, domains
-are brought to partitions of one size, in which containment turns into a Jaccard bound:
-the domains of a document are all its windows of ``min_words`` words, those of an item
-likewise, and a domain is the set of the five-word shingles of its window. A window of
-the item is contained in a window of the same size only if the sets are equal, that is
-at Jaccard 1, where the MinHash of one hash function agrees with certainty: the search
-loses nothing, whatever the length of a document. Windows are partitioned by the size of
-their set (repeated words make it smaller) and looked up by (size, MinHash); what is
-found is verified by comparing the words of the window itself. Greek nu may stand for v
-or n (see ``forms.NU``): the three have one hash, and the comparison tells v from n.
-
-The item side is a stated query set. It is read in blocks of at most ``BLOCK_WORDS``
-words, each broadcast (its size bound is that of the block) and searched for in one pass
-over all documents; no pairs are formed before the lookup and no document is shuffled.
+are brought to partitions of one size, in which a containment of t turns into a Jaccard
+similarity of t / (1 + |X| / |Q| - t). A leak may be as short as ``min_words`` words, so the
+domains of an item are all its windows of that many words, those of a document likewise, and
+a domain is the set of the five-word shingles of its window. A leaked window is contained
+in full, t = 1, and between sets of one size that is Jaccard 1: there the MinHash of one
+permutation agrees with certainty, and a longer signature would find nothing more. The
+partitions are the sizes of the sets (repeated words make them smaller); a domain is
+looked up by (size, MinHash), whatever the length of its text. What is found is verified by
+exact containment of the shingles, and then by their order, word for word. Greek nu may
+stand for v or n (see ``forms.NU``): the three have one hash, and the words tell v from n.
+
+Items with equal text are searched for once. Their windows are a table of their own, made
+by the executors and joined with the documents' by (size, MinHash). Before that, documents
+are cut to windows whose MinHash some item has by a bitmap of ``FILTER_BITS`` bits (of fixed
+size, whatever the number of items): so documents are read once, never moved, and only
+windows that are leaks, but for a few, are shuffled.
 
 Defined results: null and empty texts, and those with fewer than ``min_words`` words, hold
 and leak nothing; rows without id are ignored; items with equal text all count; repeated
-rows count once; texts are searched whole; other columns are ignored.
+rows count once; texts are searched whole, items like documents with their notes, comments
+and markup read as ``wikitext`` says; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +37,13 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.forms import NU
 from tidelog.llm.wikitext import word_streams
-from tidelog.operators.joins import spread
+from tidelog.operators.joins import lookup_join, spread
+from tidelog.storage.workspace import materialise
 
 MIN_WORDS = 10
 SHINGLE = 5
-#: Words of the items that are searched for in one pass.
-BLOCK_WORDS = 500_000
+#: Bits of the filter of MinHashes that items have: 2 MB, shared with all executors.
+FILTER_BITS = 1 << 24
 #: Distinct words whose hashes a worker keeps.
 KEPT_WORDS = 400_000
 
@@ -83,61 +87,44 @@ def window_minima(s: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def build_index(items: list[tuple[int, list[str]]], min_words: int = MIN_WORDS, shingle: int = SHINGLE) -> dict:
-    """The windows of a block of items by (size of their shingle set, MinHash)."""
+def windows(words: list[str], hashes: np.ndarray, min_words: int, shingle: int, asked: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+    """(size, MinHash, start) of every window of ``min_words`` words; with ``asked``, a bitmap
+    of MinHashes, only of those that it may have."""
+    if len(words) < min_words:
+        return
     width = min_words - shingle + 1
-    at: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for k, (_, words) in enumerate(items):
-        if len(words) < min_words:
-            continue
-        s = shingles(np.array([word_hash(w) for w in words], np.uint64), shingle)
-        for i, m in enumerate(window_minima(s, width).tolist()):
-            at[len(set(s[i : i + width].tolist())), m].append((k, i))
-    minima = np.unique(np.array([m for _, m in at], np.uint64))
-    return {"min_words": min_words, "shingle": shingle, "items": items, "at": dict(at), "minima": minima}
-
-
-def search(index: dict, words: list[str], hashes: np.ndarray) -> set[int]:
-    """Ids of the items of which the words hold a window."""
-    n, minima, found = index["min_words"], index["minima"], set()
-    if len(words) < n or not len(minima):
-        return found
-    width = n - index["shingle"] + 1
-    s = shingles(hashes, index["shingle"])
+    s = shingles(hashes, shingle)
     m = window_minima(s, width)
-    where = np.searchsorted(minima, m)
-    where[where == len(minima)] = 0
-    for i in np.flatnonzero(minima[where] == m).tolist():
-        window = words[i : i + n]
-        for k, j in index["at"].get((len(set(s[i : i + width].tolist())), int(m[i])), ()):
-            item, theirs = index["items"][k]
-            if item not in found and same_words(theirs[j : j + n], window):
-                found.add(item)
-    return found
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, list[str]]]]:
-    block, words = [], 0
-    for item_id, text in items.select(id_col, text_col).where(F.col(id_col).isNotNull()).distinct().toLocalIterator():
-        for stream in word_streams(text)[:1]:
-            block.append((item_id, stream))
-            words += len(stream)
-        if words >= BLOCK_WORDS:
-            yield block
-            block, words = [], 0
-    yield block
-
-
-def _search(shared):
+    if asked is None:
+        starts = range(len(m))
+    else:
+        bit = m & np.uint64(8 * len(asked) - 1)
+        starts = np.flatnonzero((asked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).tolist()
+    for i in starts:
+        yield len(set(s[i : i + width].tolist())), int(m[i].astype(np.int64)), i
+
+
+def contained(theirs: list[str], mine: list[str], shingle: int) -> bool:
+    """Whether all shingles of one window are shingles of the other, nu taken for v or n."""
+    runs = lambda w: {tuple(x.translate(_NU_TO_N) for x in w[i : i + shingle]) for i in range(len(w) - shingle + 1)}
+    return runs(theirs) <= runs(mine)
+
+
+_WINDOW = "id bigint, size int, minhash bigint, words string"
+
+
+def _cut(min_words: int, shingle: int, asked=None):
+    """The windows of (id, text) rows, each distinct one of a text once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        bits = None if asked is None else np.frombuffer(asked.value, np.uint8)
         known: dict[str, int] = {}
         for batch in batches:
-            docs, items = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found: set[int] = set()
+            out: list[tuple] = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found: set[tuple] = set()
                 for words in word_streams(text):
-                    if len(words) < index["min_words"]:
+                    if len(words) < min_words:
                         continue
                     try:
                         h = [known[w] for w in words]
@@ -148,10 +135,34 @@ def _search(shared):
                             if w not in known:
                                 known[w] = word_hash(w)
                         h = [known[w] for w in words]
-                    found |= search(index, words, np.array(h, np.uint64))
-                docs += [doc_id] * len(found)
-                items += sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64())], names=["doc_id", "item_id"])
+                    for size, m, at in windows(words, np.array(h, np.uint64), min_words, shingle, bits):
+                        found.add((i, size, m, " ".join(words[at : at + min_words])))
+                out += found
+            columns = list(zip(*out)) or [()] * 4
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "size", "minhash", "words"])
+
+    return run
+
+
+def _filter(items: DataFrame) -> bytes:
+    """The bitmap of the items' MinHashes: of fixed size, put together by pages."""
+    bit = F.col("minhash").bitwiseAND(F.lit(FILTER_BITS - 1)) + 1  # pages count from 1
+    pages = items.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in pages.collect():  # at most FILTER_BITS / 32768 rows of 4 KB
+        page = np.frombuffer(bytes(r.bits), np.uint8)
+        at = 4096 * (r.page - 1)
+        out[at : at + 4096] |= page[: len(out) - at]
+    return out.tobytes()
+
+
+def _verified(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, theirs = (batch.column(i).to_pylist() for i in (2, 3))
+            good = [a == b or (contained(b.split(" "), a.split(" "), shingle) and same_words(b.split(" "), a.split(" "))) for a, b in zip(mine, theirs)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     return run
 
@@ -167,10 +178,13 @@ def leaks(
 ) -> DataFrame:
     """(doc_id, item_id): documents that hold ``min_words`` consecutive words of an item."""
     spark = docs.sparkSession
+    named = items.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("item_id is not null and text is not null")
+    texts = named.groupBy("text").agg(F.min("item_id").alias("rep"))
+    members = named.join(texts, "text").select("rep", "item_id").distinct()
+    asked = materialise(texts.select("rep", "text").mapInArrow(_cut(min_words, shingle), _WINDOW).withColumnRenamed("id", "rep"), "items")
+    bits = spark.sparkContext.broadcast(_filter(asked))
     rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"))
-    out = None
-    for block in _blocks(items, item_id, text_col):
-        shared = spark.sparkContext.broadcast(build_index(block, min_words, shingle))
-        found = rows.mapInArrow(_search(shared), "doc_id bigint, item_id bigint")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
+    held = rows.mapInArrow(_cut(min_words, shingle, bits), _WINDOW).withColumnRenamed("id", "doc_id")
+    met = lookup_join(held, asked.withColumnRenamed("words", "theirs"), ["size", "minhash"], "inner", spread="doc_id", name="windows")
+    found = met.select("doc_id", "rep", "words", "theirs").mapInArrow(_verified(shingle), "doc_id bigint, rep bigint").distinct()
+    return lookup_join(found, members, ["rep"], "inner", spread="doc_id", name="members").select("doc_id", "item_id").distinct()

@@ -25,15 +25,14 @@ _COMMENT = re.compile(r"<!--(.*?)-->", re.S)
 _EMPTY_REF = re.compile(r"<ref\b[^<>]*/\s*>")
 _REF = re.compile(r"<ref\b[^<>]*>(.*?)</ref\s*>", re.S)
 _SUP_NOTE = re.compile(r"<sup\b[^<>]*>\s*\[[^\[\]<>]*\]\s*</sup\s*>")
-_PARAMETER = re.compile(r"\{\{\{[^{}|]*+(?:\|([^{}]*+))?\}\}\}")
 _EXTERNAL = re.compile(r"\[(?:https?:)?//[^\s\[\]]*+\s*+([^\[\]]*+)\]|https?://[^\s\[\]<>|]++")
-_NAMED = re.compile(r"^\s*[^=\n]{0,60}?=")
+_NAMED = re.compile(r"\s*+[^=\n]*+=")
 _BREAK_TAG = re.compile(r"</?(?:br|div|p|li|ul|ol|tr|td|th|table|gallery|hr|blockquote|center|h[1-6]|dd|dt|dl|poem|pre)\b[^<>]*>")
 _INLINE_TAG = re.compile(r"</?[a-z][a-z0-9]*\b[^<>]*>")
 _QUOTES = re.compile(r"'{2,5}")
 _TABLE_LINE = re.compile(r"^[ \t:]*(?:\{\||\|-|\|\}).*$", re.M)
 _CELL_STYLE = re.compile(r"^([|!]|.*?\|\||.*?!!)[ \t]*(?:[a-z-]+[ \t]*=[ \t]*(?:\"[^\"\n]*\"|'[^'\n]*'|\w+)[ \t]*)+\|(?!\|)", re.M)
-_GALLERY_FILE = re.compile(r"^[^|\n\[\]{}<>]{1,200}\.(?:png|jpe?g|gif|svg|tiff?|webp|ogg|webm|pdf)\|", re.M)
+_GALLERY_FILE = re.compile(r"^[^|\n\[\]{}<>]+\.(?:png|jpe?g|gif|svg|tiff?|webp|ogg|webm|pdf)\|", re.M)
 _SWITCH = re.compile(r"__[a-z]+__")
 
 # Templates that are notes on the words before them.
@@ -46,46 +45,123 @@ _FILE = ("file:", "image:", "datei:", "bild:", "fichier:", "archivo:", "imagen:"
 _HIDDEN = ("category:", "kategorie:", "catégorie:", "categoría:")
 
 
-#: Links and templates nested deeper than this are read as text with their signs dropped.
-DEPTH = 40
+#: A parameter name longer than this may be text with a sign of equality: it is kept as a
+#: sequence of its own besides.
+NAME = 60
 
+#: Visible characters at its beginning that a text under construction knows.
+KNOWN = 64
 
-def _link(body: str) -> str:
-    target, bar, label = body.partition("|")
-    name = target.strip().lstrip(":")
+
+class Parts(list):
+    """A text under construction: strings and texts of this kind, put together once at the
+    end, so that deep nesting takes linear time. ``start`` is its visible beginning."""
+
+    __slots__ = ("start",)
+
+    def __init__(self, *parts):
+        super().__init__()
+        self.start = ""
+        for p in parts:
+            self.add(p)
+
+    def add(self, part) -> None:
+        self.append(part)
+        if len(self.start) < KNOWN:
+            piece = part if isinstance(part, str) else part.start
+            self.start += (piece if self.start else piece.lstrip())[: KNOWN - len(self.start)]
+
+    def text(self) -> str:
+        out, stack = [], [iter(self)]
+        while stack:
+            for part in stack[-1]:
+                if isinstance(part, str):
+                    out.append(part)
+                else:
+                    stack.append(iter(part))
+                    break
+            else:
+                stack.pop()
+        return "".join(out)
+
+
+def _joined(segments: list[Parts], between: str) -> Parts:
+    out = Parts(*segments[:1])
+    for s in segments[1:]:
+        out.add(between)
+        out.add(s)
+    return out
+
+
+def _link(segments: list[Parts]) -> Parts:
+    """``segments`` are the parts between bars."""
+    target, labels = segments[0], segments[1:]
+    name = target.start.lstrip(":")
     if name.startswith(_FILE):
-        return " " + label.rpartition("|")[2] + " " if bar else " "
-    if name.startswith(_HIDDEN) and not target.strip().startswith(":"):
-        return " "
-    return label if bar and label.strip() else target
+        return Parts(" ", labels[-1], " ") if labels else Parts(" ")
+    if name.startswith(_HIDDEN) and not target.start.startswith(":"):
+        return Parts(" ")
+    label = _joined(labels, "|")
+    return label if label.start else target
+
+
+def _values(segments: list[Parts], asides: list[str]) -> Parts:
+    values = []
+    for s in segments[1:]:
+        named = _NAMED.match(s[0]) if s and isinstance(s[0], str) else None
+        if named:
+            if len(named[0].strip()) > NAME:
+                asides.append(s[0])
+            s = Parts(s[0][named.end() :], *s[1:])
+        values.append(s)
+    return _joined(values, " ")
+
 
+def _template(segments: list[Parts], asides: list[str]) -> Parts:
+    values = _values(segments, asides)
+    if segments[0].start.strip() in NOTES:
+        asides.append(values.text())
+        return Parts()
+    return Parts(" ", values, " ")
 
-def _nested(text: str, signs: re.Pattern, opening: str, put) -> str:
+
+_LINK_SIGNS, _TEMPLATE_SIGNS = re.compile(r"(\[\[|\]\]|\|)"), re.compile(r"(\{\{+|\}\}+|\|)")
+
+
+def _nested(text: str, signs: re.Pattern, put) -> str:
     """Replace bracketed parts from the inside out, in one pass; signs without a partner
-    become blanks."""
-    stack: list[list[str]] = [[]]
-    deeper = 0
-    for part in signs.split(text):
-        if part == opening:
-            if len(stack) > DEPTH:
-                deeper += 1
-                stack[-1].append(" ")
-            else:
-                stack.append([])
-        elif part == _CLOSING[opening]:
-            if deeper or len(stack) == 1:
-                deeper = max(0, deeper - 1)
-                stack[-1].append(" ")
+    become blanks. Of a run of braces three close a parameter, if both sides have them, else
+    two a template. ``put`` is given their number and the parts between bars."""
+    stack: list[list] = [[0, [Parts()]]]
+    for i, part in enumerate(signs.split(text)):
+        opened, segments = stack[-1]
+        if i % 2 == 0:
+            if part:
+                segments[-1].add(part)
+        elif part == "|":
+            if opened:
+                segments.append(Parts())
             else:
-                body = "".join(stack.pop())
-                stack[-1].append(put(body))
+                segments[-1].add(part)
+        elif part[0] in "[{":
+            stack.append([len(part), [Parts()]])
         else:
-            stack[-1].append(part)
-    return " ".join("".join(s) for s in stack)
-
-
-_CLOSING = {"[[": "]]", "{{": "}}"}
-_LINK_SIGNS, _TEMPLATE_SIGNS = re.compile(r"(\[\[|\]\])"), re.compile(r"(\{\{|\}\})")
+            left = len(part)
+            while left > 1 and len(stack) > 1:
+                opened, segments = stack[-1]
+                taken = 3 if min(opened, left) > 2 else 2
+                node = put(taken, segments)
+                left -= taken
+                if opened - taken > 1:
+                    stack[-1] = [opened - taken, [Parts(node)]]
+                else:
+                    stack.pop()
+                    if opened > taken:
+                        stack[-1][1][-1].add(" ")
+                    stack[-1][1][-1].add(node)
+            if left:
+                stack[-1][1][-1].add(" ")
+    return " ".join(_joined(segments, "|").text() for _, segments in stack)
 
 
 def _closed(text: str, end: str, pattern: re.Pattern, put) -> str:
@@ -98,17 +174,6 @@ def _closed(text: str, end: str, pattern: re.Pattern, put) -> str:
     return pattern.sub(put, text[:cut]) + text[cut:]
 
 
-def _values(body: str) -> list[str]:
-    return [_NAMED.sub("", part, count=1) for part in body.split("|")[1:]]
-
-
-def _template(body: str, asides: list[str]) -> str:
-    if body.partition("|")[0].strip() in NOTES:
-        asides.append(" ".join(_values(body)))
-        return ""
-    return " " + " ".join(_values(body)) + " "
-
-
 def _finish(text: str) -> list[str]:
     if "<" in text:
         text = _INLINE_TAG.sub("", _BREAK_TAG.sub(" ", text))
@@ -141,21 +206,18 @@ def word_streams(text: str | None) -> list[list[str]]:
     if "{|" in text or "|-" in text:
         text = _CELL_STYLE.sub(r"\1 ", _TABLE_LINE.sub(" ", text))
     if "[[" in text:
-        text = _nested(text, _LINK_SIGNS, "[[", _link)
+        text = _nested(text, _LINK_SIGNS, lambda _, segments: _link(segments))
     if "//" in text:
         text = _EXTERNAL.sub(lambda m: " " + (m[1] or "") + " ", text)
     if "__" in text:
         text = _SWITCH.sub(" ", text)
     if "{{" in text:
-        for _ in range(DEPTH):
-            if "{{{" not in text:
-                break
-            text, n = _PARAMETER.subn(lambda m: m[1] or "", text)
-            if not n:
-                break
-        text = _nested(text, _TEMPLATE_SIGNS, "{{", lambda body: _template(body, asides))
+
+        def brace(signs: int, segments: list[Parts]) -> Parts:
+            return _joined(segments[1:], "|") if signs == 3 else _template(segments, asides)
+
+        text = _nested(text, _TEMPLATE_SIGNS, brace)
     streams = [_finish(text)]
     for a in asides:
-        if len(a) > 20:
-            streams += word_streams(a)
+        streams += word_streams(a)
     return streams
