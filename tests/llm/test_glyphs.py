@@ -11,7 +11,7 @@ SAME = [
     ("ab", "﻿a­b"), ("ガパ", "ｶﾞﾊﾟ"), ("K;", "K;"), ("the port", "thе pоrt"), ("a", "а"),
     ("ö", "ӧ"), ("The Mill", "Τhe Мill"), ("была", "былa"),
 ]
-UNLIKE = [("a", "A"), ("e", "é"), ("m2", "m²"), ("a-b", "a–b"), ("a b", "a  b"), ("a b", "a\nb"), ("0", "O"), ("l", "I")]
+UNLIKE = [("a", "A"), ("e", "é"), ("m2", "m²"), ("a-b", "a–b"), ("a b", "a  b"), ("a b", "a\nb"), ("0", "O"), ("l", "I"), ("1", "\U000110bd1")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
@@ -35,9 +35,9 @@ def test_plain_means_unchanged():
 
 
 def test_scripts_are_kept():
-    assert propose("мельницa", "L") == "мельница"
-    assert propose("а", "C") == "а" and propose("а", "L") == "a" and propose("a", "C") == "а"
-    assert propose("Γη", "L") == "Γη"
+    assert propose("мельницa", "LATIN") == "мельница"
+    assert propose("а", "CYRILLIC") == "а" and propose("а", "LATIN") == "a" and propose("a", "CYRILLIC") == "а"
+    assert propose("Γη", "LATIN") == "Γη"
     text = "Первая мельница у реки"
     assert repair(text) == (text, [])
 
@@ -55,7 +55,7 @@ def corpus(seed):
     rows = []
     swap = {}
     for line in forms.LOOK_ALIKES.split("\n"):
-        members = [c for c in line.split() if c != "-"]
+        members = line.split()
         for c in members:
             swap[c] = members
     for i in range(70):
@@ -105,3 +105,18 @@ def test_repeated_rows_of_rejected_spellings(spark):
     rows = [(1, "авxя here"), (1, "авxя here"), (2, "авxя\u00a0here")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert [tuple(r) for r in look_alike_pairs(df).collect()] == [(1, 2)]
+
+
+def test_every_letter_has_one_class_and_one_script():
+    letters = forms.LOOK_ALIKES.split()
+    assert len(letters) == len(set(letters))
+    for line in forms._lines():
+        assert len({forms.script(c) for c in line}) == len(line) and {forms.script(c) for c in line} <= set(forms.SCRIPTS)
+    assert propose("տարօ", "ARMENIAN") == "տարօ" and repair("Հայաստան օր")[1] == []
+
+
+def test_copies_of_a_text_are_not_joined_with_each_other(spark):
+    n = 3000
+    rows = spark.range(n).selectExpr("id as doc_id", "'a plain text' as text").union(spark.createDataFrame([(n, "a\u00a0plain text")], "doc_id bigint, text string"))
+    got = look_alike_pairs(rows)
+    assert got.count() == n and got.where(f"doc_id_b = {n}").count() == n

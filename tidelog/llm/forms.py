@@ -1,99 +1,120 @@
 """Forms of text: what a reader sees of a character, and look-alike letters.
 
 ``clean`` removes what can't be seen: full-width and half-width forms, composed or
-combining accents, invisible characters, kinds of single blanks, and signs that exist
-twice. ``fold`` also brings look-alike letters of Latin, Cyrillic and Greek together; it
-serves comparisons only. ``lower`` and ``caseless`` do so without case. Case, accents, raised digits, kinds of dash and the number of
-blanks and lines are left as they are.
+combining accents, invisible characters of all planes, kinds of single blanks, and signs
+and letters that exist twice within a script. ``fold`` also brings look-alike letters of
+different scripts together; it serves comparisons only. ``lower`` and ``caseless`` do so
+without case. Case, accents, raised digits, kinds of dash and the number of blanks and lines
+are left as they are. A script is the first word of a letter's name in the character
+database, so what is invisible, what is a letter and what belongs together by form or
+decomposition follows from that database; the shapes, which it doesn't have, are listed.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from functools import cache
 
-# Letters of the same shape, as (Latin, Cyrillic, Greek); "-" for none.
+# Letters of the same shape, in the scripts Latin, Cyrillic, Greek, Coptic,
+# Armenian, Cherokee and Lisu, as far as they have one.
 LOOK_ALIKES = """
-A А Α
-B В Β
-C С Ϲ
-E Е Ε
-H Н Η
-I І Ι
-J Ј Ϳ
-K К Κ
-M М Μ
-N - Ν
-O О Ο
-P Р Ρ
-Q Ԛ -
-S Ѕ -
-T Т Τ
-W Ԝ -
-X Х Χ
-Y У Υ
-Z - Ζ
-a а -
-c с ϲ
-d ԁ -
-e е -
-h һ -
-i і -
+A А Α Ꭺ ꓮ
+B В Β Ⲃ Ᏼ ꓐ
+C С Ϲ Ⲥ Ꮯ ꓚ
+D Ꭰ ꓓ
+E Е Ε Ꭼ ꓰ
+F ꓝ
+G Ԍ Ꮐ ꓖ
+H Н Η Ⲏ Ꮋ ꓧ
+I І Ι Ⲓ ꓲ
+J Ј Ϳ Ꭻ ꓙ
+K К Κ Ⲕ Ꮶ ꓗ
+L Ꮮ ꓡ
+M М Μ Ⲙ Ꮇ ꓟ
+N Ν Ⲛ ꓠ
+O О Ο Ⲟ Օ ꓳ
+P Р Ρ Ⲣ Ꮲ ꓑ
+Q Ԛ
+R Ꭱ ꓣ
+S Ѕ Տ Ꮪ ꓢ
+T Т Τ Ⲧ Ꭲ ꓔ
+U Ս ꓴ
+V Ѵ Ꮩ ꓦ
+W Ԝ Ꮃ ꓪ
+X Х Χ Ⲭ ꓫ
+Y У Υ Ⲩ ꓬ
+Z Ζ Ⲍ Ꮓ ꓜ
+Æ Ӕ
+Ə Ә
+Ʒ Ӡ
+Ɵ Ө
+a а
+c с ϲ ⲥ
+d ԁ
+e е
+g ց
+h һ հ
+i і
 j ј ϳ
-o о ο
-p р -
-q ԛ -
-s ѕ -
-v - ν
-w ԝ -
-x х -
-y у -
-- Г Γ
-- П Π
-- Ф Φ
-- к κ
+l ӏ
+n ո
+o о ο ⲟ օ
+p р ⲣ
+q ԛ գ
+s ѕ
+u ս
+v ѵ ν
+w ԝ
+x х ⲭ
+y у
+æ ӕ
+ə ә
+ʒ ӡ
+ɵ ө
+Г Γ Ⲅ
+П Π Ⲡ
+Ф Φ Ⲫ
+к κ ⲕ
 """
 
 # Signs and letters that exist twice in the same shape, and their usual one.
 TWINS = {
     "µ": "μ", "ɡ": "g", "Ӏ": "I", "ʹ": "′", "ꞌ": "'", "։": ":", "׃": ":", "∶": ":", "꞉": ":", "․": ".", "‚": ",",
-    "ǃ": "!", "ǀ": "|", "∣": "|", "⁄": "/", "∕": "/", "∗": "*", "へ": "ヘ", "օ": "o", "Օ": "O", "Ս": "U", "ս": "u",
+    "ǃ": "!", "ǀ": "|", "∣": "|", "⁄": "/", "∕": "/", "∗": "*", "へ": "ヘ", "Ð": "Đ", "Ɖ": "Đ", "Ү": "Y", "ү": "y",
     "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
 }
 
 # Code points that show nothing besides most of the category Cf.
 UNSEEN = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x3164, 0xFFA0)
-# Format characters (Cf) that do show something.
-SEEN_CF = {0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, *range(0x0600, 0x0606)}
+# Format characters (Cf) that do show something (signs before numbers).
+SEEN_CF = {0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD, *range(0x0600, 0x0606)}
 
-SCRIPTS = "LCG"
+@cache
+def script(c: str) -> str | None:
+    """The script of a letter by its name; None for anything else."""
+    return unicodedata.name(c, " ").split(" ")[0] or None if c.isalpha() else None
+
+
+def _lines() -> list[list[str]]:
+    return [line.split() for line in LOOK_ALIKES.strip().split("\n")]
 
 
 #: Letter -> the members of its class by script.
 CLASSES: dict[str, dict[str, str]] = {}
-for _line in LOOK_ALIKES.strip().split("\n"):
-    _members = {s: c for s, c in zip(SCRIPTS, _line.split()) if c != "-"}
-    CLASSES.update({c: _members for c in _members.values()})
+for _line in _lines():
+    _members = {script(c): c for c in _line}
+    CLASSES.update({c: _members for c in _line})
 
-
-def script(c: str) -> str | None:
-    """L, C, G, or None for anything else."""
-    o = ord(c)
-    if o < 0x250:
-        return "L" if c.isalpha() else None
-    if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
-        return "G" if c.isalpha() else None
-    if 0x400 <= o < 0x530 or 0x1C80 <= o < 0x1C90 or 0x2DE0 <= o < 0x2E00 or 0xA640 <= o < 0xA6A0:
-        return "C" if c.isalpha() else None
-    if 0x1E00 <= o < 0x1F00 or 0x2C60 <= o < 0x2C80 or 0xA720 <= o < 0xA800:
-        return "L"
-    return None
+#: Scripts that have look-alikes; of equally frequent ones the first counts.
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "COPTIC", "ARMENIAN", "CHEROKEE", "LISU")
 
 
 def _table(fold: bool) -> dict[int, str | None]:
     """The translation of a decomposed text, made from the character database."""
     table: dict[int, str | None] = {}
-    for o in [*range(0x3100), *range(0xFE00, 0x10000), *range(0xE0000, 0xE0200)]:
+    beyond = (o for o in range(0x3100, 0x20000) if unicodedata.category(chr(o)) == "Cf")
+    for o in [*range(0x3100), *beyond, *range(0xFE00, 0x10000), *range(0xE0000, 0xE0200)]:
         c = chr(o)
         cat = unicodedata.category(c)
         if cat == "Zs" or c == "\t":
@@ -123,8 +144,8 @@ def _closed() -> dict[int, str]:
     """The letters of a class and their small letters to one of them: where capitals look
     the same, the small ones are the same word in another case."""
     one: dict[str, str] = {}
-    for line in LOOK_ALIKES.strip().split("\n"):
-        small = [c.casefold() for c in line.split() if c != "-" and c.casefold() != NU]
+    for line in _lines():
+        small = [c.casefold() for c in line if c.casefold() != NU]
         to = next((one[c] for c in small if c in one), small[0])
         one.update({c: to for c in small})
     for c, t in TWINS.items():
@@ -139,7 +160,7 @@ _LOWER, _CLOSED = {o: t for o, t in _FOLD.items() if chr(o).casefold() != NU}, _
 #: Texts without a character of this class are their own clean form and hold nothing
 #: but Latin letters, kana and ideographs.
 _UNSAFE = re.compile(
-    "[^\n -~¡-¬®-´¶-ƿǁǂǄ-ɏ–—‘’“-„…"
+    "[^\n -~¡-¬®-´¶-ÏÑ-ƈƊ-ƿǁǂǄ-ɏ–—‘’“-„…"
     "、-〜ぁ-ふほ-ゖァ-ヺー一-鿿\U0001f600-\U0001f64f]"
 )
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tidelog.llm.forms import CLASSES, SCRIPTS, clean, plain, script
 from tidelog.operators.joins import lookup_join, spread
-from tidelog.storage.workspace import new_folder
+from tidelog.storage.workspace import materialise, new_folder
 
 TOKEN = re.compile("(?:[^\\W\\d_][\u0300-\u036f]*)+")
 #: Tokens kept by a task before they are handed on.
@@ -60,7 +60,7 @@ def _votes(letters: Counter) -> str | None:
     for c, n in letters.items():
         if c not in CLASSES:
             s = script(c)
-            if s:
+            if s in SCRIPTS:
                 votes[s] += n
     return max(SCRIPTS, key=lambda s: votes[s]) if votes else None
 
@@ -96,7 +96,7 @@ def repair(
         if p is None:
             if len(cache) > BLOCK_TOKENS:
                 cache.clear()
-            p = cache[known] = token if context == "L" and plain(token) else propose(token, context)
+            p = cache[known] = token if context == "LATIN" and plain(token) else propose(token, context)
         if p != token:
             gap = base[end : m.start()]
             at += len(gap)
@@ -194,8 +194,8 @@ class Analysis:
 def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b): documents with unequal texts and one consistent form.
 
-    Only forms that two or more different texts share are joined; rows with one text are
-    never paired with each other."""
+    The different texts of a form are joined, each once; then each pair of texts is given
+    its documents. Copies of one text never meet each other, so the work follows the result."""
     forms = (
         Analysis(docs, id_col, text_col).forms().where("visible and doc_id is not null")
         .select("doc_id", "text_hash", "form_hash", "rest").distinct()
@@ -204,10 +204,13 @@ def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         forms.groupBy("form_hash", "rest").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
         .where("low <> high").select("form_hash", "rest")
     )
-    few = lookup_join(forms, shared, ["form_hash", "rest"], "left_semi", name="shared")
-    a = few.select("form_hash", "rest", F.col("doc_id").alias("doc_id_a"), F.col("text_hash").alias("ta"))
-    b = few.select("form_hash", "rest", F.col("doc_id").alias("doc_id_b"), F.col("text_hash").alias("tb"))
-    return a.join(b, ["form_hash", "rest"]).where("doc_id_a < doc_id_b and ta <> tb").select("doc_id_a", "doc_id_b").distinct()
+    few = materialise(lookup_join(forms, shared, ["form_hash", "rest"], "left_semi", spread="doc_id", name="shared"), "alike")
+    texts = few.select("form_hash", "rest", "text_hash").distinct()
+    a, b = (texts.withColumnRenamed("text_hash", t) for t in ("ta", "tb"))
+    met = a.join(b, ["form_hash", "rest"]).where("ta < tb").select("ta", "tb")
+    of = lambda t, d: few.select(F.col("text_hash").alias(t), F.col("doc_id").alias(d))
+    both = met.join(of("ta", "da"), "ta").join(of("tb", "db"), "tb").where("da <> db")
+    return both.select(F.least("da", "db").alias("doc_id_a"), F.greatest("da", "db").alias("doc_id_b")).distinct()
 
 
 def consistent_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
