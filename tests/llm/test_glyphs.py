@@ -120,3 +120,17 @@ def test_copies_of_a_text_are_not_joined_with_each_other(spark):
     rows = spark.range(n).selectExpr("id as doc_id", "'a plain text' as text").union(spark.createDataFrame([(n, "a\u00a0plain text")], "doc_id bigint, text string"))
     got = look_alike_pairs(rows)
     assert got.count() == n and got.where(f"doc_id_b = {n}").count() == n
+
+
+def test_what_executors_run_needs_no_package_there(tmp_path):
+    """The functions are shipped by value: they load where the package isn't installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from tidelog.llm import glyphs, leaks, survivor, tokens
+
+    run = [glyphs._analyse, leaks._cut(10, 5), leaks._verified(5), survivor.best_choice, tokens._split, tokens._give, tokens.replay]
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(run))
+    code = f"import sys; from pyspark import cloudpickle; n = len(cloudpickle.loads(open({str(tmp_path / 'f')!r}, 'rb').read())); assert n == {len(run)} and 'tidelog' not in sys.modules"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path).returncode == 0

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import cache
 
 # Letters of the same shape, in the scripts Latin, Cyrillic, Greek, Coptic,
 # Armenian, Cherokee and Lisu, as far as they have one.
@@ -90,10 +89,14 @@ UNSEEN = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F
 # Format characters (Cf) that do show something (signs before numbers).
 SEEN_CF = {0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD, *range(0x0600, 0x0606)}
 
-@cache
+_SCRIPT_OF: dict[str, str | None] = {}
+
+
 def script(c: str) -> str | None:
     """The script of a letter by its name; None for anything else."""
-    return unicodedata.name(c, " ").split(" ")[0] or None if c.isalpha() else None
+    if c not in _SCRIPT_OF:
+        _SCRIPT_OF[c] = unicodedata.name(c, " ").split(" ")[0] or None if c.isalpha() else None
+    return _SCRIPT_OF[c]
 
 
 def _lines() -> list[list[str]]:
