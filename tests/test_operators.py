@@ -99,10 +99,41 @@ def test_cutting_with_spark_equals_the_fold(spark):
         assert [got[s, r[0]] for r in mine] == want
 
 
+def bins(sizes, capacity):
+    out, at = [], 0
+    for n in sizes:
+        if out and at + n <= capacity:
+            out.append(out[-1])
+            at += n
+        else:
+            out.append(out[-1] + 1 if out else 0)
+            at = n
+    return out
+
+
+@pytest.mark.parametrize("per_part", [16, 0.3])
+def test_packing_in_parallel_equals_the_fold(spark, monkeypatch, per_part):
+    monkeypatch.setattr(R, "BINS_PER_PART", per_part)
+    rng = random.Random(8)
+    rows = [(s, 3 * q, rng.choice([1, 7, 30, 59, 60])) for s, n in ((1, 900), (2, 3), (-5, 40), (9, 300)) for q in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "store bigint, seq_no bigint, bytes bigint").repartition(3)
+    got = {(r.store, r.seq_no): r.bin for r in R.greedy_packing(df, 60).collect()}
+    for s in (1, 2, -5, 9):
+        mine = sorted(r for r in rows if r[0] == s)
+        assert [got[s, r[1]] for r in mine] == bins([r[2] for r in mine], 60)
+    assert len(got) == len(rows) and R.greedy_packing(df.where("bytes > 99"), 60).count() == 0
+    with pytest.raises(Exception, match="exceeds"):
+        R.greedy_packing(df, 59).count()
+
+
+def test_cutting_in_parallel_equals_the_fold(spark):
+    rows = [(q, f"{k}#{q}", v, t) for q, k, v, t in random_log(200)]
+    got = {r.seq_no: r.run_id for r in R.cut_exact(log(spark, rows), 300, overwrites=False).collect()}
+    assert [got[r[0]] for r in sorted(rows)] == cut([(k, 41 + len(k) + (0 if t else len(v))) for _, k, v, t in sorted(rows)], 300)
+
+
 def test_segments_and_offsets(spark):
-    assert list(W.roll(iter([29] * 3), 64)) == [0, 1, 2] and list(W.roll(iter([28, 28, 28]), 64)) == [0, 0, 1]
-    with pytest.raises(IOFailure):
-        list(W.roll(iter([60]), 64))
     rows = random_log(60)
     total, want = 8, {}
     for q, k, v, t in sorted(rows):
@@ -165,6 +196,7 @@ def test_zone_maps_and_floor(spark):
     got = {r.key: r.candidates for r in R.zone_map_candidates(R.run_metadata(e), probes).collect()}
     assert got == {k: sum(a <= k <= b for a, b in meta.values()) for k in ("a", "hot", "k11", "k5", "zz")}
     index = R.sparse_index(e, 3)
+    probes = probes.crossJoin(e.select("run_id").distinct())
     starts = {}
     for r in index.collect():
         starts.setdefault(r.run_id, []).append((r.first_key, r.block_no))
@@ -183,6 +215,11 @@ def test_pickers(spark):
     assert ids(R.size_tier_pick(r([(1, 1, 0), (2, 10, 0), (3, 100, 0)]))) == []
     assert ids(R.level0_trigger(r([(i, 1, 0) for i in range(9)]), 8)) == list(range(1, 9))
     assert ids(R.level0_trigger(r([(i, 1, int(i == 3)) for i in range(8)]), 8)) == []
+    stores = spark.createDataFrame([(s, i, 10, 0) for s in (1, 2) for i in range(5 - s)], "store_id bigint, run_id bigint, size bigint, level int")
+    assert {(x.store_id, x.run_id) for x in R.size_tier_pick(stores).collect()} == {(1, i) for i in range(4)}
+    assert "SinglePartition" not in R.size_tier_pick(stores)._jdf.queryExecution().executedPlan().toString()
+    history = [tuple(x) for x in R.manifest_history(stores, 3).orderBy("store_id", "epoch").collect()]
+    assert history == [(1, 1, 1, 0), (1, 2, 2, 0), (1, 3, 3, 0), (1, 4, 1, 1), (1, 5, 2, 1), (2, 1, 1, 0), (2, 2, 2, 0), (2, 3, 3, 0), (2, 4, 1, 1)]
 
 
 def test_recovery(spark):
@@ -190,9 +227,9 @@ def test_recovery(spark):
     rows = [(0, 0, 1, "a", "1", False, False), (0, 1, 2, "b", "2", False, True), (0, 2, 3, "c", "3", False, False), (1, 0, 3, "c", "3", False, False), (1, 1, 4, "a", None, True, False)]
     df = spark.createDataFrame(rows, schema)
     assert sorted(r.seq_no for r in W.replay(df, S.F.col("bad")).collect()) == [1, 3, 4]
-    assert tuple(W.recovery_report(df, S.F.col("bad")).first()) == (2, 3, 1, 4)
+    assert tuple(W.recovery_report(df, S.F.col("bad")).first()) == (2, 3, 1, 4, True)
     none = spark.createDataFrame([], schema)
-    assert tuple(W.recovery_report(none, S.F.col("bad")).first()) == (0, 0, 0, None)
+    assert tuple(W.recovery_report(none, S.F.col("bad")).first()) == (0, 0, 0, None, False)
 
 
 def test_cache(spark):

@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelog.operators.joins import lookup_join
+from tidelog.storage.workspace import materialise
+
 # Bases of the two polynomial hashes, and the shift of a signed byte.
 BASE_1, BASE_2 = 257, 263
 SHIFT = 128
@@ -49,26 +52,21 @@ def sizes(entries: DataFrame, bits_per_key: int) -> DataFrame:
     return entries.groupBy("run_id").agg((F.ceil(F.count("*") * bits_per_key / 8) * 8).cast("bigint").alias("m"))
 
 
-def set_bits(entries: DataFrame, bits_per_key: int, hash_count: int) -> DataFrame:
-    """(run_id, bit): the bits set in each run's filter."""
-    placed = hashes(entries.select("run_id", "key").join(sizes(entries, bits_per_key), "run_id"))
-    return placed.select("run_id", F.explode(positions(hash_count)).alias("bit")).distinct()
-
-
-def fill(entries: DataFrame, bits_per_key: int, hash_count: int) -> DataFrame:
-    """(run_id, m, bits_set)."""
-    bits = set_bits(entries, bits_per_key, hash_count).groupBy("run_id").agg(F.count("*").alias("bits_set"))
-    return sizes(entries, bits_per_key).join(bits, "run_id")
-
-
 def packed_filters(entries: DataFrame, bits_per_key: int, hash_count: int) -> DataFrame:
     """(run_id, m, word, bits): the filters as 64-bit words; a filter of any size is spread
-    over rows, so none has to fit one task."""
-    bits = set_bits(entries, bits_per_key, hash_count)
-    words = bits.groupBy("run_id", F.floor(F.col("bit") / 64).alias("word")).agg(
+    over rows, so none has to fit one task. Bits of a word are combined on the map side."""
+    held = materialise(entries.select("run_id", "key"), "filtered")
+    placed = hashes(lookup_join(held, sizes(held, bits_per_key), ["run_id"], "inner", spread="key", name="sizes"))
+    spots = placed.select("run_id", "m", F.explode(positions(hash_count)).alias("bit"))
+    return spots.groupBy("run_id", "m", F.floor(F.col("bit") / 64).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")
     )
-    return words.join(sizes(entries, bits_per_key), "run_id").select("run_id", "m", "word", "bits")
+
+
+def fill(entries: DataFrame, bits_per_key: int, hash_count: int) -> DataFrame:
+    """(run_id, m, bits_set)."""
+    filters = packed_filters(entries, bits_per_key, hash_count)
+    return filters.groupBy("run_id", "m").agg(F.sum(F.bit_count("bits").cast("bigint")).alias("bits_set"))
 
 
 def probe(filters: DataFrame, asked: DataFrame, hash_count: int) -> DataFrame:
@@ -76,8 +74,9 @@ def probe(filters: DataFrame, asked: DataFrame, hash_count: int) -> DataFrame:
 
     Each asked row looks up only the words that its positions fall in: an equi-join on
     (run, word), then all of its bits must have been found."""
+    filters = materialise(filters, "filters")
     per_run = filters.select("run_id", "m").distinct()
-    placed = hashes(asked.select("run_id", "key").join(per_run, "run_id"))
+    placed = hashes(lookup_join(asked.select("run_id", "key"), per_run, ["run_id"], "inner", spread="key", name="sizes"))
     spots = placed.select("run_id", "key", F.explode(positions(hash_count)).alias("bit"))
     wanted = spots.groupBy("run_id", "key", F.floor(F.col("bit") / 64).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")
@@ -89,6 +88,7 @@ def probe(filters: DataFrame, asked: DataFrame, hash_count: int) -> DataFrame:
 
 def effect(entries: DataFrame, asked: DataFrame, bits_per_key: int, hash_count: int) -> DataFrame:
     """(run_id, checked, negatives, false_positives, false_negatives)."""
+    entries = materialise(entries.select("run_id", "key"), "entries")
     answers = probe(packed_filters(entries, bits_per_key, hash_count), asked, hash_count)
     truth = entries.select("run_id", "key", F.lit(True).alias("there"))
     both = answers.join(truth, ["run_id", "key"], "left")

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelog.model import ENTRY_OVERHEAD, RUN_ENTRY_OVERHEAD, IOFailure
 from tidelog.operators.joins import lookup_join
 from tidelog.operators.state import latest_state, newest
+from tidelog.storage.workspace import materialise
 
 
 def fixed_run_id(size: int) -> Column:
@@ -27,15 +30,6 @@ def flush(log: DataFrame, run_id: Column) -> DataFrame:
     return newest(log.withColumn("run_id", run_id), ("run_id", "key"))
 
 
-def write_runs(entries: DataFrame, path: str, bits_ndv: int | None = None) -> None:
-    """Each run as sorted Parquet files of its own folder; with ``bits_ndv`` (keys per
-    file) Parquet's Bloom filter of the key is written too."""
-    out = entries.repartition("run_id").sortWithinPartitions("run_id", "key", F.desc("seq_no")).write.partitionBy("run_id")
-    if bits_ndv:
-        out = out.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(bits_ndv))
-    out.mode("append").parquet(path)
-
-
 def data_bytes() -> Column:
     """Encoded size of an entry in a run."""
     return F.lit(RUN_ENTRY_OVERHEAD) + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
@@ -77,13 +71,17 @@ def cut_positions(sizes: Iterator[tuple], limit: int) -> Iterator[int]:
         yield run
 
 
-def cut_exact(log: DataFrame, limit: int, store: str | None = None) -> DataFrame:
-    """(store, seq_no, run_id) by bytes. The rule is a sequential fold: each store is one
-    ordered pass over (number, key, size); stores run in parallel, values aren't moved."""
+def cut_exact(log: DataFrame, limit: int, store: str | None = None, overwrites: bool = True) -> DataFrame:
+    """(store, seq_no, run_id) by bytes. With overwritten keys the rule is a sequential fold:
+    each store is one ordered pass over (number, key, size); stores run in parallel, values
+    aren't moved. Without (``overwrites=False``: the caller knows that keys don't repeat in a
+    store) the runs are a greedy packing, which is cut in parallel within a store too."""
     sized = log.where("seq_no is not null and key is not null").select(
         (F.col(store) if store else F.lit(0)).cast("bigint").alias("store"), "seq_no", "key",
         (F.lit(ENTRY_OVERHEAD) + F.octet_length("key") + F.when(F.col("tombstone"), 0).otherwise(F.coalesce(F.octet_length("value"), F.lit(0)))).alias("size"),
     )
+    if not overwrites:
+        return greedy_packing(sized.select("store", "seq_no", F.col("size").cast("bigint").alias("bytes")), limit).withColumnRenamed("bin", "run_id")
     ordered = sized.repartition("store").sortWithinPartitions("store", "seq_no")
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,6 +104,96 @@ def cut_exact(log: DataFrame, limit: int, store: str | None = None) -> DataFrame
     return ordered.mapInPandas(fold, "store bigint, seq_no bigint, run_id bigint")
 
 
+#: A part of a packing holds about as many bins, so what its first bin hands on soon agrees.
+BINS_PER_PART = 16
+
+
+def greedy_packing(sized: DataFrame, capacity: int) -> DataFrame:
+    """(store, seq_no, bin): records of (store, seq_no, bytes) in the order of their numbers,
+    each put into the open bin of its store if it still fits ``capacity``, else into a new one.
+
+    Where a bin ends follows from where it starts and the running sum of bytes, so the
+    records are range-partitioned into parts. Each part tells, for the records that may start
+    its first new bin, which bin is open at its end and how many began; most of them agree
+    after a few bins, so it is a short step function. These functions are composed from part
+    to part, and each part then numbers its bins by itself. Only stores that span parts take
+    this way: at most two a part. A record that exceeds the capacity raises IOFailure."""
+    spark = sized.sparkSession
+    total = sized.agg(F.sum("bytes")).first()[0] or 0
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (BINS_PER_PART * capacity)))
+    placed = materialise(sized.repartitionByRange(parts, "store", "seq_no").withColumn("_part", F.spark_partition_id()), "parts")
+    sums = placed.groupBy("store", "_part").agg(F.sum("bytes").alias("bytes"))
+    split = sums.groupBy("store").agg(F.count("*").alias("n")).where("n > 1").select("store")
+    # at most two stores of a part go over its ends
+    spans = sums.join(split, "store", "left_semi").collect()
+    before: dict[tuple[int, int], int] = {}
+    run: dict[int, int] = {}
+    for r in sorted(spans, key=lambda r: r["_part"]):
+        before[r["_part"], r.store] = run.get(r.store, 0)
+        run[r.store] = run.get(r.store, 0) + r.bytes
+
+    def pieces(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(part, store, rows in order, ends) of a part, offsets counted within the store."""
+        store, seq, size = (table.column(c).to_numpy() for c in ("store", "seq_no", "bytes"))
+        if len(size) and size.max() > capacity:
+            raise IOFailure(f"a record of {size.max()} bytes exceeds {capacity}")
+        part = table.column("_part")[0].as_py()
+        order = np.lexsort((seq, store))
+        for rows in np.split(order, np.flatnonzero(np.diff(store[order])) + 1):
+            s = int(store[rows[0]])
+            yield part, s, rows, size[rows].cumsum() + before.get((part, s), 0), size[rows]
+
+    def summary(table: pa.Table) -> pa.Table:
+        out = []
+        for part, s, _, ends, size in pieces(table):
+            if (part, s) not in before:
+                continue
+            starts = ends - size
+            after = np.searchsorted(ends, starts + capacity, "right").tolist()
+            n = len(ends)
+            last, count = list(range(n)), [1] * n
+            for i in range(n - 1, -1, -1):
+                if after[i] < n:
+                    last[i], count[i] = last[after[i]], count[after[i]] + 1
+            first = int(np.searchsorted(ends, starts[0] + capacity, "right"))  # later records can't be the first to start
+            for i in range(min(first + 1, n)):
+                if out and out[-1][:2] == (part, s) and out[-1][3:] == (int(starts[last[i]]), count[i]):
+                    out[-1] = (part, s, int(ends[i]), *out[-1][3:])
+                else:
+                    out.append((part, s, int(ends[i]), int(starts[last[i]]), count[i]))
+        columns = list(zip(*out)) or [()] * 5
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("part", "store", "upto", "last", "bins"), columns)})
+
+    steps: dict[tuple[int, int], list] = {}
+    if before:
+        for r in placed.groupBy("_part").applyInArrow(summary, "part bigint, store bigint, upto bigint, last bigint, bins bigint").collect():
+            steps.setdefault((r.part, r.store), []).append((r.upto, r["last"], r.bins))
+    entering: dict[tuple[int, int], tuple[int, int]] = {}
+    state: dict[int, tuple[int, int]] = {}
+    for part, s in sorted(before):
+        opened, bins = entering[part, s] = state.get(s, (-capacity - 1, 0))  # no bin yet: the first record starts one
+        for upto, last, n in sorted(steps.get((part, s), [])):
+            if upto > opened + capacity:
+                opened, bins = last, bins + n
+                break
+        state[s] = (opened, bins)
+
+    def number(table: pa.Table) -> pa.Table:
+        bins = np.zeros(len(table), np.int64)
+        for part, s, rows, ends, size in pieces(table):
+            opened, n = entering.get((part, s), (-capacity - 1, 0))
+            at = 0
+            while at < len(ends):
+                end = int(np.searchsorted(ends, opened + capacity, "right"))
+                bins[rows[at:end]] = n - 1
+                if end < len(ends):
+                    opened, n = int(ends[end] - size[end]), n + 1
+                at = end
+        return pa.table({"store": table.column("store"), "seq_no": table.column("seq_no"), "bin": pa.array(bins)})
+
+    return placed.groupBy("_part").applyInArrow(number, "store bigint, seq_no bigint, bin bigint")
+
+
 def zone_map_candidates(metadata: DataFrame, probes: DataFrame) -> DataFrame:
     """(key, candidates): runs whose key range has the probe. Metadata is one row per run;
     it is broadcast only if its written size allows. Beyond, keys are counted by two
@@ -124,8 +212,6 @@ def running_sum(rows: DataFrame, order: list[str], value: str) -> DataFrame:
     """``total``: the sum of ``value`` over all rows up to this one in a global order.
     Rows are range-partitioned; each partition sums by itself and adds the totals of the
     partitions before it (one number per partition), so no task holds all rows."""
-    from tidelog.storage.workspace import materialise
-
     parts = materialise(
         rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges"
     )
@@ -166,46 +252,57 @@ def merge_invariance(log: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def _by_store(runs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Runs with a column ``store_id`` are stores of their own; without, one store."""
+    return runs, ["store_id"] if "store_id" in runs.columns else []
+
+
 def size_tier_pick(runs: DataFrame, fan_in: int = 4, ratio: int = 2) -> DataFrame:
-    """(run_id): the runs that the size-tiered picker takes. Of the runs by size, then
-    newest first, the first ``fan_in`` neighbours whose largest is at most ``ratio`` times
-    the smallest (rounded up); if there are none, the first ``fan_in`` by level, then
-    newest first. Runs are metadata: one row each."""
-    by_size = Window.orderBy("size", F.desc("run_id"))
-    ranked = runs.withColumn("at", F.row_number().over(by_size)).withColumn("top", F.lead("size", fan_in - 1).over(by_size))
-    starts = ranked.where(F.col("top").isNotNull() & (F.ceil(F.col("top") / F.col("size")) <= ratio)).agg(F.min("at").alias("start"))
-    fallback = Window.orderBy("level", F.desc("run_id"))
-    total = F.count("*").over(Window.partitionBy())
-    both = ranked.withColumn("by_level", F.row_number().over(fallback)).withColumn("total", total).crossJoin(F.broadcast(starts))
+    """(store_id, run_id): the runs that the size-tiered picker takes in each store. Of the
+    runs by size, then newest first, the first ``fan_in`` neighbours whose largest is at most
+    ``ratio`` times the smallest (rounded up); if there are none, the first ``fan_in`` by
+    level, then newest first. Runs are metadata: one row each; a store's are one partition."""
+    runs, by = _by_store(runs)
+    by_size = Window.partitionBy(*by).orderBy("size", F.desc("run_id"))
+    fallback = Window.partitionBy(*by).orderBy("level", F.desc("run_id"))
+    whole = Window.partitionBy(*by)
+    ranked = (
+        runs.withColumn("at", F.row_number().over(by_size)).withColumn("top", F.lead("size", fan_in - 1).over(by_size))
+        .withColumn("by_level", F.row_number().over(fallback))
+    )
+    fits = F.col("top").isNotNull() & (F.ceil(F.col("top") / F.greatest(F.col("size"), F.lit(1))) <= ratio)
+    placed = ranked.withColumn("start", F.min(F.when(fits, F.col("at"))).over(whole)).withColumn("total", F.count("*").over(whole))
     picked = F.when(F.col("start").isNotNull(), F.col("at").between(F.col("start"), F.col("start") + fan_in - 1)).otherwise(
         (F.col("by_level") <= fan_in) & (F.col("total") >= fan_in)
     )
-    return both.where(picked).select("run_id")
+    return placed.where(picked).select(*by, "run_id")
 
 
 def level0_trigger(runs: DataFrame, trigger: int = 8) -> DataFrame:
-    """(run_id): the runs to merge after a flush: the first ``trigger`` by level, newest
-    first, if all of them are of level 0; else none."""
-    ranked = runs.withColumn("at", F.row_number().over(Window.orderBy("level", F.desc("run_id")))).where(F.col("at") <= trigger)
-    full = Window.partitionBy()
+    """(store_id, run_id): the runs to merge after a flush of each store: the first
+    ``trigger`` by level, newest first, if all of them are of level 0; else none."""
+    runs, by = _by_store(runs)
+    ranked = runs.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("level", F.desc("run_id")))).where(F.col("at") <= trigger)
+    full = Window.partitionBy(*by)
     return (
         ranked.withColumn("n", F.count("*").over(full)).withColumn("top", F.max("level").over(full))
-        .where((F.col("n") == trigger) & (F.col("top") == 0)).select("run_id")
+        .where((F.col("n") == trigger) & (F.col("top") == 0)).select(*by, "run_id")
     )
 
 
 def manifest_history(metadata: DataFrame, trigger: int) -> DataFrame:
-    """(epoch, live_runs, max_level) of a store that adds the runs in order and, whenever
-    ``trigger`` runs of level 0 are there, replaces them by one of level 1. Each cycle is
-    ``trigger`` additions and one replacement, so the epochs follow from the run number."""
-    runs = metadata.select(F.dense_rank().over(Window.orderBy("run_id")).cast("bigint").alias("i"))
+    """(store_id, epoch, live_runs, max_level) of stores that add their runs in order and,
+    whenever ``trigger`` runs of level 0 are there, replace them by one of level 1. Each cycle
+    is ``trigger`` additions and one replacement, so epochs follow from the run's place."""
+    metadata, by = _by_store(metadata)
+    runs = metadata.select(*by, F.dense_rank().over(Window.partitionBy(*by).orderBy("run_id")).cast("bigint").alias("i")).distinct()
     cycle, inside = F.floor((F.col("i") - 1) / trigger), (F.col("i") - 1) % trigger + 1
     top = F.when(cycle > 0, 1).otherwise(0)
-    added = runs.select((cycle * (trigger + 1) + inside).alias("epoch"), (cycle + inside).alias("live_runs"), top.cast("bigint").alias("max_level"))
+    added = runs.select(*by, (cycle * (trigger + 1) + inside).alias("epoch"), (cycle + inside).alias("live_runs"), top.cast("bigint").alias("max_level"))
     merged = runs.where(inside == trigger).select(
-        ((cycle + 1) * (trigger + 1)).alias("epoch"), (cycle + 1).alias("live_runs"), F.lit(1).cast("bigint").alias("max_level")
+        *by, ((cycle + 1) * (trigger + 1)).alias("epoch"), (cycle + 1).alias("live_runs"), F.lit(1).cast("bigint").alias("max_level")
     )
-    return added.unionByName(merged).select(*[F.col(c).cast("bigint").alias(c) for c in ("epoch", "live_runs", "max_level")])
+    return added.unionByName(merged).select(*by, *[F.col(c).cast("bigint").alias(c) for c in ("epoch", "live_runs", "max_level")])
 
 
 def obsolete_runs(all_runs: DataFrame, retained: DataFrame) -> DataFrame:
@@ -219,14 +316,12 @@ def compaction_throttle(runs: DataFrame, mb_per_s: int) -> DataFrame:
 
 
 def floor_seek(blocks: DataFrame, probes: DataFrame) -> DataFrame:
-    """(run_id, key, block_no): for each run and probe the last block whose first key is
-    at most the probe; -1 before the first. Probes and block starts of a run are merged in
-    key order once; no pair of a probe and a block that isn't its answer is formed."""
-    asked = probes.select("key").where("key is not null").distinct()
-    runs = blocks.select("run_id").distinct()
+    """(run_id, key, block_no): for each probe, a (run_id, key) row, the last block of the run
+    whose first key is at most the key; -1 before the first. Probes and block starts of a run
+    are merged in key order once."""
+    asked = probes.select("run_id", "key").where("run_id is not null and key is not null").distinct()
     events = blocks.select("run_id", F.col("first_key").alias("key"), F.lit(0).alias("at"), "block_no").unionByName(
-        lookup_join(asked.withColumn("_one", F.lit(1)), runs.groupBy(F.lit(1).alias("_one")).agg(F.collect_list("run_id").alias("runs")), ["_one"], name="runs")
-        .select(F.explode("runs").alias("run_id"), "key", F.lit(1).alias("at"), F.lit(None).cast("bigint").alias("block_no"))
+        asked.select("run_id", "key", F.lit(1).alias("at"), F.lit(None).cast("bigint").alias("block_no"))
     )
     w = Window.partitionBy("run_id").orderBy("key", "at").rowsBetween(Window.unboundedPreceding, 0)
     return (

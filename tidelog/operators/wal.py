@@ -12,8 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.model import WAL_HEADER, WAL_RECORD_OVERHEAD, IOFailure
-from tidelog.operators.runs import running_sum
+from tidelog.model import WAL_HEADER, WAL_RECORD_OVERHEAD
+from tidelog.operators.runs import greedy_packing, running_sum
 
 
 def record_bytes() -> Column:
@@ -28,45 +28,13 @@ def offsets(log: DataFrame) -> DataFrame:
     return running_sum(sized, ["seq_no"], "bytes").select("seq_no", "bytes", (F.col("total") + WAL_HEADER).alias("end_offset"))
 
 
-def roll(sizes: Iterator[int], roll_size: int) -> Iterator[int]:
-    """The segment of each record: a new one whenever the record would go beyond
-    ``roll_size``; a record that doesn't fit an empty segment is refused."""
-    segment, at = 0, WAL_HEADER
-    for n in sizes:
-        if at + n > roll_size:
-            if at == WAL_HEADER:
-                raise IOFailure(f"a record of {n} bytes doesn't fit a segment of {roll_size}")
-            segment, at = segment + 1, WAL_HEADER
-            if at + n > roll_size:
-                raise IOFailure(f"a record of {n} bytes doesn't fit a segment of {roll_size}")
-        at += n
-        yield segment
-
-
 def segments(log: DataFrame, roll_size: int, store: str | None = None) -> DataFrame:
-    """(store, seq_no, segment_id). A sequential fold per store over record sizes only."""
+    """(store, seq_no, segment_id): the rolling rule, cut in parallel (see
+    ``runs.greedy_packing``); only numbers and sizes are moved."""
     sized = log.where("seq_no is not null and key is not null").select(
         (F.col(store) if store else F.lit(0)).cast("bigint").alias("store"), "seq_no", record_bytes().alias("bytes")
     )
-    ordered = sized.repartition("store").sortWithinPartitions("store", "seq_no")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, feed, rolled = None, [], None
-
-        def source() -> Iterator[int]:
-            while True:
-                yield feed.pop()
-
-        for pdf in batches:
-            out = []
-            for s, n in zip(pdf["store"], pdf["bytes"]):
-                if s != current:
-                    current, rolled = s, roll(source(), roll_size)
-                feed.append(n)
-                out.append(next(rolled))
-            yield pd.DataFrame({"store": pdf["store"], "seq_no": pdf["seq_no"], "segment_id": out})
-
-    return ordered.mapInPandas(fold, "store bigint, seq_no bigint, segment_id bigint")
+    return greedy_packing(sized, roll_size - WAL_HEADER).withColumnRenamed("bin", "segment_id")
 
 
 def record_is_valid(max_key: int, max_value: int) -> Column:
@@ -92,7 +60,8 @@ def valid_prefix(records: DataFrame, bad: Column, segment: str = "segment_id", a
 
 
 def recovery_report(records: DataFrame, bad: Column) -> DataFrame:
-    """(segments, records, truncated, last_seqno): read-only; nothing is cut off."""
+    """(segments, records, truncated, last_seqno, gap): read-only; nothing is cut off. ``gap``
+    tells whether numbers are missing between the first and the last that was kept."""
     first_bad = records.where(bad).groupBy("segment_id").agg(F.min("at").alias("_bad"))
     joined = records.join(first_bad, "segment_id", "left")
     kept = F.col("_bad").isNull() | (F.col("at") < F.col("_bad"))
@@ -101,6 +70,7 @@ def recovery_report(records: DataFrame, bad: Column) -> DataFrame:
         F.count_if(kept).alias("records"),
         F.count_distinct(F.when(F.col("_bad").isNotNull(), F.col("segment_id"))).alias("truncated"),
         F.max(F.when(kept, F.col("seq_no"))).alias("last_seqno"),
+        F.coalesce(F.max(F.when(kept, F.col("seq_no"))) - F.min(F.when(kept, F.col("seq_no"))) + 1 > F.count_distinct(F.when(kept, F.col("seq_no"))), F.lit(False)).alias("gap"),
     )
 
 
@@ -141,10 +111,3 @@ def cache_hits(accesses: DataFrame, blocks: int) -> DataFrame:
             yield pd.DataFrame({"at": pdf["at"], "block": pdf["block"], "hit": out})
 
     return ordered.mapInPandas(fold, "at bigint, block bigint, hit boolean")
-
-
-def distances(accesses: DataFrame) -> DataFrame:
-    """(at, gap): accesses since the block's last access, an upper bound of the stack
-    distance from one window per block; null for a first access."""
-    before = F.lag("at").over(Window.partitionBy("block").orderBy("at"))
-    return accesses.select("at", (F.col("at") - before - 1).alias("gap"))

@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.checksum import crc32c_column
 from tidelog.model import Config, bloom_parameters
 from tidelog.operators import bloom, runs, state, wal
+from tidelog.sources import native
 from tidelog.sources.logs import events_shard, events_user, orders_cust
 from tidelog.sources.tables import table
+from tidelog.storage.workspace import new_folder
 
 RUN = 500  # mutations of a fixed run
 BITS, HASHES = bloom_parameters(0.01)
@@ -106,6 +109,14 @@ def q06_state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.state_as_of(events_shard(spark, sf_dir), 700)
 
 
+@query(f"""with {_SHARD}, n as (select *, row_number() over (partition by key order by seq_no desc) as r from l
+  where seq_no <= (select max(seq_no) // 2 from l)) select key, seq_no, value from n where r = 1 and not tombstone""")
+def q06_state_at_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state at the middle of the numbers, which moves with the table."""
+    log = events_shard(spark, sf_dir)
+    return state.state_as_of(log, (log.agg(F.max("seq_no")).first()[0] or 0) // 2)
+
+
 @query(f"""with {_SHARD}, s as (select case when octet_length(encode(key)) = 0 then 'empty_key'
   when octet_length(encode(key)) > 6 then 'key_too_long' when tombstone then 'ok' when value is null then 'null_value'
   when octet_length(encode(value)) > 12 then 'value_too_long' else 'ok' end as status from l)
@@ -164,10 +175,23 @@ def _own_keys(log: DataFrame) -> DataFrame:
     from c join z on z.seq_no = c.seq_no + 1)
   select seq_no, run_id from c""")
 def q11_run_cut_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.cut_exact(_own_keys(events_shard(spark, sf_dir)), MEMTABLE).select("seq_no", "run_id")
+    return runs.cut_exact(_own_keys(events_shard(spark, sf_dir)), MEMTABLE, overwrites=False).select("seq_no", "run_id")
 
 
-@query()
+@query(f"""with recursive {_SHARD}, z as (select (seq_no - 1) % 7 as store, seq_no, key, 41 + octet_length(encode(key))
+    + case when tombstone then 0 else coalesce(octet_length(encode(value)), 0) end as n from l),
+  w as (select *, row_number() over (partition by store order by seq_no) as i from z),
+  x as (select *, lag(i) over (partition by store, key order by seq_no) as before, lag(n) over (partition by store, key order by seq_no) as held from w),
+  c(store, i, seq_no, run_id, start, total, sealed) as (
+    select store, i, seq_no, cast(0 as bigint), i, n, n = {MEMTABLE} from x where i = 1
+    union all
+    select x.store, x.i, x.seq_no,
+      case when c.sealed or c.total + x.n > {MEMTABLE} then c.run_id + 1 else c.run_id end,
+      case when c.sealed or c.total + x.n > {MEMTABLE} then x.i else c.start end,
+      case when c.sealed or c.total + x.n > {MEMTABLE} then x.n else c.total + x.n - case when x.before >= c.start then x.held else 0 end end,
+      case when c.sealed or c.total + x.n > {MEMTABLE} then x.n = {MEMTABLE} else c.total + x.n = {MEMTABLE} end
+    from c join x on x.store = c.store and x.i = c.i + 1)
+  select store, seq_no, run_id from c""")
 def q11_run_cut_overwrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact cut with overwritten keys, one store per shard of the key."""
     log = events_shard(spark, sf_dir).withColumn("shard", F.substring_index("key", ":", -1).cast("bigint"))
@@ -202,6 +226,15 @@ def q15_merge_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.merge_invariance(events_shard(spark, sf_dir), flushed(spark, sf_dir))
 
 
+@query(f"""with {_SHARD}, {_NEWEST}, {_FLUSHED}, kept as (select * from e where run_id % 3 <> 1),
+  m as (select *, row_number() over (partition by key order by seq_no desc) as w from kept),
+  a as (select key, seq_no, value from n where r = 1 and not tombstone), b as (select key, seq_no, value from m where w = 1 and not tombstone)
+  select (select count(*) from (select * from a except select * from b)) as only_log, (select count(*) from (select * from b except select * from a)) as only_runs""")
+def q15_merge_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same comparison where a third of the runs is lost."""
+    return runs.merge_invariance(events_shard(spark, sf_dir), flushed(spark, sf_dir).where("run_id % 3 <> 1"))
+
+
 _SIZED = f"""with {_SHARD}, {_FLUSHED}, {_META}, s as (select run_id, data_bytes as size, cast(0 as bigint) as level from d)"""
 
 
@@ -221,6 +254,49 @@ def q16_level0_trigger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.level0_trigger(metadata.select("run_id", F.lit(0).alias("level")), 8)
 
 
+_HANDLES = r"""a as (select *, regexp_matches(lower(trim(file_name)), '\.sst$') as pub from table_handles),
+r as (select run_id, max(case when pub and file_size > 0 then file_size end) as size, bool_or(removed_at is not null) as gone,
+  max(case when pub then store_id end) as store_id, max(case when pub and level >= 0 then level end) as level from a group by run_id having bool_or(pub)),
+s as (select store_id, run_id, size, coalesce(level, 0) as level from r where not gone and size is not null and store_id is not null)"""
+
+
+def _stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live runs of all stores of the listings."""
+    from tidelog.operators.compaction import resolve_runs
+
+    held = resolve_runs(table(spark, sf_dir, "table_handles")).where("not removed and bytes is not null and store_id is not null")
+    return held.select("store_id", "run_id", F.col("bytes").alias("size"), F.coalesce("level", F.lit(0)).alias("level"))
+
+
+@query(f"""with {_HANDLES}, o as (select *, row_number() over (partition by store_id order by size, run_id desc) as pos,
+    lead(size, 3) over (partition by store_id order by size, run_id desc) as top,
+    row_number() over (partition by store_id order by level, run_id desc) as lv, count(*) over (partition by store_id) as n from s),
+  f as (select *, min(case when top is not null and ceil(top / size) <= 2 then pos end) over (partition by store_id) as start from o)
+  select store_id, run_id from f where case when start is not null then pos between start and start + 3 else lv <= 4 and n >= 4 end""")
+def q16_size_tier_pick_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picker in every store, with its fallback by level."""
+    return runs.size_tier_pick(_stores(spark, sf_dir))
+
+
+@query(f"""with {_HANDLES}, o as (select *, row_number() over (partition by store_id order by level, run_id desc) as pos from s),
+  g as (select store_id from o where pos <= 3 group by store_id having count(*) = 3 and max(level) = 0)
+  select o.store_id, o.run_id from o join g on o.store_id = g.store_id where pos <= 3""")
+def q16_level0_trigger_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.level0_trigger(_stores(spark, sf_dir), 3)
+
+
+@query(f"""with recursive {_HANDLES}, t as (select store_id, count(distinct run_id) as runs from s group by store_id),
+  m(store_id, epoch, added, fresh, merged) as (
+    select store_id, cast(1 as bigint), cast(1 as bigint), cast(1 as bigint), cast(0 as bigint) from t
+    union all
+    select m.store_id, epoch + 1, case when fresh = 3 then added else added + 1 end,
+      case when fresh = 3 then 0 else fresh + 1 end, case when fresh = 3 then merged + 1 else merged end
+    from m join t on m.store_id = t.store_id where fresh = 3 or added < runs)
+  select store_id, epoch, fresh + merged as live_runs, cast(case when merged > 0 then 1 else 0 end as bigint) as max_level from m""")
+def q17_manifest_history_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.manifest_history(_stores(spark, sf_dir).select("store_id", "run_id"), 3)
+
+
 @query(f"""with recursive {_SHARD}, t as (select count(distinct floor((seq_no - 1) / {RUN})) as runs from l),
   m(epoch, added, fresh, merged) as (
     select cast(1 as bigint), cast(1 as bigint), cast(1 as bigint), cast(0 as bigint)
@@ -325,15 +401,31 @@ def q24_index_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.index_is_sorted(runs.sparse_index(flushed(spark, sf_dir), PER_BLOCK))
 
 
-@query(f"""with {_SHARD}, {_FLUSHED}, {_INDEX}, r as (select distinct run_id from i), p as (select distinct concat('u:', user_id) as key from events)
-  select r.run_id, p.key, coalesce(max(i.block_no), -1) as block_no from r cross join p
-  left join i on i.run_id = r.run_id and i.first_key <= p.key group by r.run_id, p.key""")
+@query(f"""with {_SHARD}, {_FLUSHED}, {_INDEX}, d as (select run_id, block_no, case when run_id % 2 = 1 and block_no = 3 then 'u:' else first_key end as first_key from i),
+  o as (select *, lag(first_key) over (partition by run_id order by block_no) as before from d)
+  select run_id, bool_and(before is null or before < first_key) as valid from o group by run_id""")
+def q24_damaged_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other run has one block start out of order."""
+    index = runs.sparse_index(flushed(spark, sf_dir), PER_BLOCK)
+    damaged = (F.col("run_id") % 2 == 1) & (F.col("block_no") == 3)
+    return runs.index_is_sorted(index.withColumn("first_key", F.when(damaged, "u:").otherwise(F.col("first_key"))))
+
+
+@query(f"""with {_SHARD}, {_FLUSHED}, {_INDEX}, w as (select key, cast(floor((max(seq_no) - 1) / {RUN}) as bigint) as own from l group by key),
+  p as (select own as run_id, key from w union select greatest(own - 1, 0), key from w)
+  select p.run_id, p.key, coalesce(max(i.block_no), -1) as block_no from p
+  left join i on i.run_id = p.run_id and i.first_key <= p.key group by p.run_id, p.key""")
 def q25_floor_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block of each key in the run of its newest mutation and in the one before."""
     index = runs.sparse_index(flushed(spark, sf_dir), PER_BLOCK)
-    return runs.floor_seek(index, events_user(spark, sf_dir))
+    return runs.floor_seek(index, _asked(spark, sf_dir))
 
 
-@query()
+@query("""with t as (select event_type, event_id as pos, user_id % 40 as block from events),
+  p as (select *, lag(pos) over (partition by event_type, block order by pos) as before, lead(pos) over (partition by event_type, block order by pos) as later from t),
+  d as (select a.pos, count(b.pos) as others from p a left join p b on b.event_type = a.event_type and b.pos > a.before and b.pos < a.pos and (b.later is null or b.later >= a.pos)
+    where a.before is not null group by a.pos)
+  select p.pos as "at", cast(p.block as bigint) as block, p.before is not null and d.others < 16 as hit from p left join d on p.pos = d.pos""")
 def q26_block_cache_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of an LRU cache of 16 blocks, one trace per event type."""
     events = table(spark, sf_dir, "events")
@@ -363,18 +455,25 @@ def q28_wal_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log in segments of 1000 records, as stored records; a length of record 700 in
-    the segments 2 and 9 is damaged."""
+    """The log in segments of 1000 records, as stored records. Damaged are the length of
+    record 700 in the segments 2 and 9, and one byte of the body of record 500 in segment 4;
+    checksums are those of the bytes as written and as they are now."""
     log = events_shard(spark, sf_dir)
-    value_len = F.when(F.col("tombstone"), 0).otherwise(F.coalesce(F.octet_length("value"), F.lit(0)))
+    value = F.when(F.col("tombstone"), F.lit("")).otherwise(F.coalesce("value", F.lit("")))
     segment, at = F.floor((F.col("seq_no") - 1) / SEGMENT).cast("bigint"), (F.col("seq_no") - 1) % SEGMENT
-    damaged = segment.isin(2, 9) & (at == 700)
-    checksum = F.crc32(F.encode(F.concat_ws("|", "key", "value"), "UTF-8"))
-    return log.select(
-        "*", segment.alias("segment_id"), at.alias("at"),
-        F.octet_length("key").alias("key_len"), value_len.alias("value_len"),
-        (17 + F.octet_length("key") + value_len + F.when(damaged, 3).otherwise(0)).alias("length"),
-        F.when(F.col("tombstone"), 2).otherwise(1).alias("type"), checksum.alias("crc"), checksum.alias("body_crc"),
+    wrong_length = segment.isin(2, 9) & (at == 700)
+    wrong_body = (segment == 4) & (at == 500)
+    number = lambda n, width: F.unhex(F.lpad(F.hex(n), width, "0"))
+    kind, key = F.when(F.col("tombstone"), 2).otherwise(1), F.encode("key", "UTF-8")
+    body = F.concat(
+        number(kind, 2), number(F.col("seq_no"), 16), number(F.octet_length("key"), 8), number(F.octet_length(value), 8), key, F.encode(value, "UTF-8")
+    )
+    now = F.when(wrong_body, F.concat(F.expr("substring(body, 1, octet_length(body) - 1)"), F.unhex(F.lit("00")))).otherwise(F.col("body"))
+    return log.withColumn("body", body).select(
+        "seq_no", "key", "value", "tombstone", segment.alias("segment_id"), at.alias("at"),
+        F.octet_length("key").alias("key_len"), F.octet_length(value).alias("value_len"),
+        (17 + F.octet_length("key") + F.octet_length(value) + F.when(wrong_length, 3).otherwise(0)).alias("length"),
+        kind.alias("type"), crc32c_column(F.col("body")).alias("crc"), crc32c_column(now).alias("body_crc"),
     )
 
 
@@ -384,7 +483,7 @@ def _bad() -> F.Column:
 
 
 _KEPT = f"""s as (select *, cast(floor((seq_no - 1) / {SEGMENT}) as bigint) as segment_id, (seq_no - 1) % {SEGMENT} as pos from l),
-k as (select * from s where not (segment_id in (2, 9) and pos >= 700))"""
+k as (select * from s where not (segment_id in (2, 9) and pos >= 700) and not (segment_id = 4 and pos >= 500))"""
 
 
 @query(f"with {_SHARD}, {_KEPT} select segment_id, count(*) as records, max(seq_no) as last_seq from k group by segment_id")
@@ -399,7 +498,8 @@ def q29_wal_replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_SHARD}, {_KEPT} select (select count(distinct segment_id) from s) as segments, (select count(*) from k) as records,
-  (select count(*) from s where segment_id in (2, 9) and pos = 700) as truncated, (select max(seq_no) from k) as last_seqno""")
+  (select count(*) from s where (segment_id in (2, 9) and pos = 700) or (segment_id = 4 and pos = 500)) as truncated, (select max(seq_no) from k) as last_seqno,
+  (select max(seq_no) - min(seq_no) + 1 > count(*) from k) as gap""")
 def q30_wal_recovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wal.recovery_report(_stored(spark, sf_dir), _bad())
 
@@ -414,11 +514,43 @@ def q32_compaction_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.compaction_throttle(runs.run_metadata(flushed(spark, sf_dir)).withColumnRenamed("data_bytes", "bytes"), 2)
 
 
-@query()
+@query(f"""with recursive {_SHARD}, {_FLUSHED}, z as (select run_id, row_number() over (partition by run_id order by key) as i, octet_length(encode(key)) as k,
+    case when tombstone then 0 else coalesce(octet_length(encode(value)), 0) end as v from e),
+  c(run_id, i, block, remaining, n, restarts, bytes) as (
+    select run_id, i, cast(0 as bigint), 512 - 17 - k - v, 1, 8 + k, cast(17 + k + v as bigint) from z where i = 1
+    union all
+    select z.run_id, z.i, c.block + f.fresh, case when f.fresh = 1 then 512 else c.remaining end - 17 - z.k - z.v,
+      case when f.fresh = 1 then 1 else c.n + 1 end,
+      case when f.fresh = 1 then 8 + z.k else c.restarts + case when c.n % 10 = 0 then 8 + z.k else 0 end end, c.bytes + 17 + z.k + z.v
+    from c join z on z.run_id = c.run_id and z.i = c.i + 1
+    cross join lateral (select cast(c.remaining < 41 + z.k + z.v + c.restarts + case when c.n % 10 = 0 then 8 + z.k else 0 end + 12 as int) as fresh) f)
+  select run_id, max(block) + 1 as blocks, max(bytes) as data_bytes from c group by run_id""")
 def q33_block_layout_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.block_layout(flushed(spark, sf_dir), 512, 10)
 
 
+@query(f"with {_SHARD} select seq_no, key, case when not tombstone then coalesce(value, '') end as value, tombstone from l")
+def q34_binary_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as binary segments and read again, every record checked."""
+    log = events_shard(spark, sf_dir).select("seq_no", F.encode("key", "UTF-8").alias("key"), F.encode("value", "UTF-8").alias("value"), "tombstone")
+    path = new_folder(spark, "wal")
+    native.save(native.wal_segments(log, ROLL), path)
+    read = native.read_wal(spark, path)
+    return read.select("seq_no", F.decode("key", "UTF-8").alias("key"), F.decode("value", "UTF-8").alias("value"), "tombstone")
+
+
+@query(f"with {_SHARD}, {_FLUSHED} select run_id, key, seq_no, case when not tombstone then coalesce(value, '') end as value, tombstone from e")
+def q35_binary_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flushed runs written as binary run files and read again: headers, index, restart
+    points, filters and the checksum of every block are checked."""
+    entries = flushed(spark, sf_dir)
+    text = lambda c: F.encode(c, "UTF-8").alias(c)
+    path = new_folder(spark, "sst")
+    native.save(native.run_files(entries.select("run_id", text("key"), "seq_no", text("value"), "tombstone"), block_size=512), path)
+    read = native.read_runs(spark, path)
+    return read.select("run_id", F.decode("key", "UTF-8").alias("key"), "seq_no", F.decode("value", "UTF-8").alias("value"), "tombstone")
+
+
 @query(f"with {_SHARD}, {_NEWEST} select key, seq_no, value from n where r = 1 and not tombstone and key >= 'u:10' and key < 'u:12'")
 def x1_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.range_scan(events_shard(spark, sf_dir), "u:10", "u:12")

@@ -172,15 +172,26 @@ def decode_run(content: bytes) -> list[tuple[int, bytes, int, bytes, bool]]:
     for no, block in enumerate(blocks):
         end = struct.unpack_from(">i", block, len(block) - 4)[0]
         check(0 < end <= len(block) - 8, "block")
+        restarts, place = {}, end + 4
+        for _ in range(struct.unpack_from(">i", block, end)[0]):
+            check(place + 4 <= len(block) - 4, "restart")
+            k = struct.unpack_from(">i", block, place)[0]
+            check(k > 0 and place + 8 + k <= len(block) - 4, "restart")
+            restarts[struct.unpack_from(">i", block, place + 4 + k)[0]] = block[place + 4 : place + 4 + k]
+            place += 8 + k
+        check(place == len(block) - 4 and 0 in restarts and list(restarts.values()) == sorted(set(restarts.values())), "restart")
         at = 0
         while at < end:
+            met = restarts.pop(at, None)
             k = struct.unpack_from(">i", block, at)[0]
             check(0 < k <= end - at - 17, "entry")
             v = struct.unpack_from(">i", block, at + 4 + k)[0]
             check(0 <= v <= end - at - 17 - k, "entry")
             seq, dead = struct.unpack_from(">qb", block, at + 8 + k + v)
+            check(met is None or met == block[at + 4 : at + 4 + k], "restart")
             out.append((no, block[at + 4 : at + 4 + k], seq, block[at + 8 + k : at + 8 + k + v], bool(dead)))
             at += 17 + k + v
+        check(not restarts, "restart")
     return out
 
 

@@ -27,16 +27,6 @@ def ingest(changes: DataFrame, table: BucketedTable, checkpoint: str, trigger: d
     )
 
 
-def running_state(changes: DataFrame) -> DataFrame:
-    """The newest mutation of each key of a stream, for the output modes complete and
-    update; state holds one row per key."""
-    return (
-        changes.where("seq_no is not null and key is not null")
-        .groupBy("key").agg(F.max(F.struct("seq_no", "tombstone", "value")).alias("m"))
-        .select("key", "m.seq_no", "m.value", "m.tombstone")
-    )
-
-
 def stream_events_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The state of the event log, built by a stream over the events file."""
     path = new_folder(spark, "stream")
