@@ -88,6 +88,6 @@ def test_spark_round_trips(spark, tmp_path):
 def test_filter_bits_equal_the_relation(spark):
     keys = [f"clé{i}" for i in range(40)]
     df = spark.createDataFrame([(0, k) for k in keys], "run_id bigint, key string")
-    bits = {r.bit for r in B.set_bits(df, 10, 7).collect()}
+    bits = {r.word * 64 + i for r in B.packed_filters(df, 10, 7).collect() for i in range(64) if r.bits >> i & 1}
     packed = N.filter_bits([k.encode() for k in keys], 10, 7)
     assert bits == {i for i in range(len(packed) * 8) if packed[i // 8] >> (i % 8) & 1}
