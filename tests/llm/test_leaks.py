@@ -14,11 +14,11 @@ def words(text):
 
 
 def cut(text):
-    """(size, MinHash) -> windows of a text."""
+    """(size, MinHash, place) -> windows of a text."""
     out = {}
     for w in word_streams(text):
-        for size, m, i in L.windows(w, np.array([L.word_hash(x) for x in w], np.uint64), 10, 5):
-            out.setdefault((size, m), []).append(w[i : i + 10])
+        for size, m, place, i in L.windows(np.array([L.word_hash(x) for x in w], np.uint64), 10, 5):
+            out.setdefault((size, m, place), []).append(w[i : i + 10])
     return out
 
 
@@ -134,3 +134,15 @@ def test_nothing_is_cut_off():
 def test_braces_in_runs():
     assert words("{{a|{{b|x}}}} y") == ["x", "y"] and words("{{a|{{{b|x}}}}} y") == ["x", "y"]
     assert words("{{{{{1|x}}}|z}} y") == ["z", "y"] and words("{{a|x}}} y") == ["x", "y"]
+
+
+def test_kept_lines_change_nothing(monkeypatch):
+    from tidelog.llm import wikitext as T
+
+    texts = [f"[[a|b]] Éne two\n{{{{x|three}}}}\nfour {i % 3} <ref>note {i}\nЕnd</ref>\r\nfive" for i in range(9)]
+    for kept in (0, 2, 1000):
+        monkeypatch.setattr(T, "KEPT_LINES", kept)
+        lowered, finished = {}, {}
+        for text in texts * 2:
+            got = [[w for words, _ in lines for w in words] for lines in T.line_streams(text, lowered, finished)]
+            assert got == word_streams(text)

@@ -9,12 +9,13 @@ a domain is the set of the five-word shingles of its window. A leaked window is
 in full, t = 1, and between sets of one size that is Jaccard 1: there the MinHash of one
 permutation agrees with certainty, and a longer signature would find nothing more. The
 partitions are the sizes of the sets (repeated words make them smaller); a domain is
-looked up by (size, MinHash), whatever the length of its text. What is found is verified by
+looked up by (size, MinHash, place of the shingle that gave it), whatever the length of its
+text; the place keeps windows apart that overlap and so have one MinHash. What is found is verified by
 exact containment of the shingles, and then by their order, word for word. Greek nu may
 stand for v or n (see ``forms.NU``): the three have one hash, and the words tell v from n.
 
 Items with equal text are searched for once. Their windows are a table of their own, made
-by the executors and joined with the documents' by (size, MinHash). Before that, documents
+by the executors and joined with the documents' by the same three. Before that, documents
 are cut to windows whose MinHash some item has by a bitmap of ``FILTER_BITS`` bits (of fixed
 size, whatever the number of items): so documents are read once, never moved, and only
 windows that are leaks, but for a few, are shuffled.
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.forms import NU
-from tidelog.llm.wikitext import word_streams
+from tidelog.llm.wikitext import line_streams
 from tidelog.operators.joins import lookup_join, spread
 from tidelog.storage.workspace import materialise
 
@@ -45,7 +46,7 @@ SHINGLE = 5
 #: Bits of the filter of MinHashes that items have: 2 MB, shared with all executors.
 FILTER_BITS = 1 << 24
 #: Distinct words whose hashes a worker keeps.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 
 _ODD = [np.uint64(int.from_bytes(hashlib.blake2b(b"position %d" % i, digest_size=8).digest(), "big") | 1) for i in range(64)]
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -87,10 +88,10 @@ def window_minima(s: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def windows(words: list[str], hashes: np.ndarray, min_words: int, shingle: int, asked: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
-    """(size, MinHash, start) of every window of ``min_words`` words; with ``asked``, a bitmap
+def windows(hashes: np.ndarray, min_words: int, shingle: int, asked: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int]]:
+    """(size, MinHash, its place, start) of every window of ``min_words`` words, given as hashes; with ``asked``, a bitmap
     of MinHashes, only of those that it may have."""
-    if len(words) < min_words:
+    if len(hashes) < min_words:
         return
     width = min_words - shingle + 1
     s = shingles(hashes, shingle)
@@ -101,7 +102,8 @@ def windows(words: list[str], hashes: np.ndarray, min_words: int, shingle: int,
         bit = m & np.uint64(8 * len(asked) - 1)
         starts = np.flatnonzero((asked[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).tolist()
     for i in starts:
-        yield len(set(s[i : i + width].tolist())), int(m[i].astype(np.int64)), i
+        held = s[i : i + width].tolist()
+        yield len(set(held)), int(m[i].astype(np.int64)), held.index(int(m[i])), i
 
 
 def contained(theirs: list[str], mine: list[str], shingle: int) -> bool:
@@ -110,7 +112,7 @@ def contained(theirs: list[str], mine: list[str], shingle: int) -> bool:
     return runs(theirs) <= runs(mine)
 
 
-_WINDOW = "id bigint, size int, minhash bigint, words string"
+_WINDOW = "id bigint, size int, minhash bigint, place int, words string"
 
 
 def _cut(min_words: int, shingle: int, asked=None):
@@ -119,28 +121,28 @@ def _cut(min_words: int, shingle: int, asked=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if asked is None else np.frombuffer(asked.value, np.uint8)
         known: dict[str, int] = {}
+        lowered: dict[str, str] = {}
+        finished: dict[str, list] = {}
         for batch in batches:
             out: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found: set[tuple] = set()
-                for words in word_streams(text):
-                    if len(words) < min_words:
+                for lines in line_streams(text, lowered, finished):
+                    for line in lines:
+                        if line[1] is None:
+                            if len(known) > KEPT_WORDS:
+                                known.clear()
+                            line[1] = np.array([known.get(w) or known.setdefault(w, word_hash(w)) for w in line[0]], np.uint64)
+                    if sum(len(words) for words, _ in lines) < min_words:
                         continue
-                    try:
-                        h = [known[w] for w in words]
-                    except KeyError:
-                        if len(known) > KEPT_WORDS:
-                            known.clear()
-                        for w in words:
-                            if w not in known:
-                                known[w] = word_hash(w)
-                        h = [known[w] for w in words]
-                    for size, m, at in windows(words, np.array(h, np.uint64), min_words, shingle, bits):
-                        found.add((i, size, m, " ".join(words[at : at + min_words])))
+                    words = None
+                    for size, m, place, at in windows(np.concatenate([h for _, h in lines]), min_words, shingle, bits):
+                        words = words or [w for held, _ in lines for w in held]
+                        found.add((i, size, m, place, " ".join(words[at : at + min_words])))
                 out += found
-            columns = list(zip(*out)) or [()] * 4
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "size", "minhash", "words"])
+            columns = list(zip(*out)) or [()] * 5
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "size", "minhash", "place", "words"])
 
     return run
 
@@ -185,6 +187,6 @@ def leaks(
     bits = spark.sparkContext.broadcast(_filter(asked))
     rows = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null"))
     held = rows.mapInArrow(_cut(min_words, shingle, bits), _WINDOW).withColumnRenamed("id", "doc_id")
-    met = lookup_join(held, asked.withColumnRenamed("words", "theirs"), ["size", "minhash"], "inner", spread="doc_id", name="windows")
+    met = lookup_join(held, asked.withColumnRenamed("words", "theirs"), ["size", "minhash", "place"], "inner", spread="doc_id", name="windows")
     found = met.select("doc_id", "rep", "words", "theirs").mapInArrow(_verified(shingle), "doc_id bigint, rep bigint").distinct()
     return lookup_join(found, members, ["rep"], "inner", spread="doc_id", name="members").select("doc_id", "item_id").distinct()

@@ -6,6 +6,10 @@ parameters and table cells left in; templates that are notes by their name count
 notes. Notes and comments follow as sequences of their own, so that what they hold isn't
 lost.
 
+Pages come as revisions that share most of their lines. What follows from a line alone, its
+folded form and its words, is kept in the caches that a caller hands on (cleared when full,
+which costs time only).
+
 Defined results: broken markup (a comment, note, link or template that isn't closed) is
 treated as text with its signs dropped; null and empty texts give no words.
 """
@@ -15,7 +19,7 @@ from __future__ import annotations
 import html
 import re
 
-from tidelog.llm.forms import caseless, lower
+from tidelog.llm.forms import caseless, lower, plain
 
 WORD = re.compile(r"[^\W_]+")
 WORD_WITH_MARKS = re.compile("(?:[^\\W_][\u0300-\u036f]*)+")
@@ -125,7 +129,37 @@ def _template(segments: list[Parts], asides: list[str]) -> Parts:
     return Parts(" ", values, " ")
 
 
-_LINK_SIGNS, _TEMPLATE_SIGNS = re.compile(r"(\[\[|\]\]|\|)"), re.compile(r"(\{\{+|\}\}+|\|)")
+# Links and templates that hold no others; most are of this kind and need no stack.
+_PLAIN_LINK = re.compile(r"(?<!\[)\[\[([^\[\]|]*+)(?:\|([^\[\]|]*+))?\]\](?!\])")
+_PLAIN_TEMPLATE = re.compile(r"(?<!\{)\{\{([^{}]*+)\}\}(?!\})")
+
+
+def _plain_link(m: re.Match) -> str:
+    target, label = m[1], m[2]
+    start = target.lstrip()
+    name = start.lstrip(":")
+    if name.startswith(_FILE):
+        return f" {label or ''} "
+    if name.startswith(_HIDDEN) and not start.startswith(":"):
+        return " "
+    return label if label and not label.isspace() else target
+
+
+def _plain_template(body: str, asides: list[str]) -> str:
+    name, *values = body.split("|")
+    for i, v in enumerate(values):
+        named = _NAMED.match(v)
+        if named:
+            if len(named[0].strip()) > NAME:
+                asides.append(v)
+            values[i] = v[named.end() :]
+    if name.strip() in NOTES:
+        asides.append(" ".join(values))
+        return ""
+    return f" {' '.join(values)} "
+
+
+_LINK_SIGNS, _TEMPLATE_SIGNS = re.compile(r"(\[\[|\]\])"), re.compile(r"(\{\{+|\}\}+)")
 
 
 def _nested(text: str, signs: re.Pattern, put) -> str:
@@ -136,13 +170,12 @@ def _nested(text: str, signs: re.Pattern, put) -> str:
     for i, part in enumerate(signs.split(text)):
         opened, segments = stack[-1]
         if i % 2 == 0:
-            if part:
-                segments[-1].add(part)
-        elif part == "|":
-            if opened:
-                segments.append(Parts())
-            else:
-                segments[-1].add(part)
+            if not opened:
+                segments[0].append(part)
+            elif part:
+                first, *rest = part.split("|")
+                segments[-1].add(first)
+                segments += [Parts(x) for x in rest]
         elif part[0] in "[{":
             stack.append([len(part), [Parts()]])
         else:
@@ -174,20 +207,54 @@ def _closed(text: str, end: str, pattern: re.Pattern, put) -> str:
     return pattern.sub(put, text[:cut]) + text[cut:]
 
 
-def _finish(text: str) -> list[str]:
+#: Lines that a cache keeps.
+KEPT_LINES = 50_000
+
+
+def _lowered(text: str, cache: dict[str, str]) -> str:
+    """``forms.lower`` line by line."""
+    if plain(text):
+        return text.casefold()
+    if len(cache) > KEPT_LINES:
+        cache.clear()
+    out = []
+    for line in text.replace("\r\n", "\n").split("\n"):
+        low = cache.get(line)
+        if low is None:
+            low = cache[line] = lower(line)
+        out.append(low)
+    return "\n".join(out)
+
+
+def _finish(text: str, cache: dict[str, list]) -> list[list]:
     if "<" in text:
         text = _INLINE_TAG.sub("", _BREAK_TAG.sub(" ", text))
     if "&" in text:
         text = lower(html.unescape(text))
-    text = caseless(text)
-    return (WORD_WITH_MARKS if _MARK.search(text) else WORD).findall(text)
+    if len(cache) > KEPT_LINES:
+        cache.clear()
+    out = []
+    for line in text.split("\n"):
+        held = cache.get(line)
+        if held is None:
+            folded = caseless(line)
+            held = cache[line] = [(WORD_WITH_MARKS if _MARK.search(folded) else WORD).findall(folded), None]
+        if held[0]:
+            out.append(held)
+    return out
 
 
 def word_streams(text: str | None) -> list[list[str]]:
     """Sequences of folded words; see the module text."""
+    return [[w for words, _ in lines for w in words] for lines in line_streams(text, {}, {})]
+
+
+def line_streams(text: str | None, lowered: dict[str, str], finished: dict[str, list]) -> list[list[list]]:
+    """The same sequences as lists of lines, each ``[words, None]``: a line stands for all its
+    copies, so a caller may keep in the second place what it makes of the words."""
     if not text:
         return []
-    text = lower(text)
+    text = _lowered(text, lowered)
     asides: list[str] = []
 
     def aside(m: re.Match) -> str:
@@ -205,6 +272,8 @@ def word_streams(text: str | None) -> list[list[str]]:
         text = _QUOTES.sub("", text)
     if "{|" in text or "|-" in text:
         text = _CELL_STYLE.sub(r"\1 ", _TABLE_LINE.sub(" ", text))
+    if "[[" in text:
+        text = _PLAIN_LINK.sub(_plain_link, text)
     if "[[" in text:
         text = _nested(text, _LINK_SIGNS, lambda _, segments: _link(segments))
     if "//" in text:
@@ -216,8 +285,10 @@ def word_streams(text: str | None) -> list[list[str]]:
         def brace(signs: int, segments: list[Parts]) -> Parts:
             return _joined(segments[1:], "|") if signs == 3 else _template(segments, asides)
 
-        text = _nested(text, _TEMPLATE_SIGNS, brace)
-    streams = [_finish(text)]
+        text = _PLAIN_TEMPLATE.sub(lambda m: _plain_template(m[1], asides), text)
+        if "{{" in text:
+            text = _nested(text, _TEMPLATE_SIGNS, brace)
+    streams = [_finish(text, finished)]
     for a in asides:
-        streams += word_streams(a)
+        streams += line_streams(a, lowered, finished)
     return streams
