@@ -32,9 +32,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -216,21 +217,26 @@ class Compactor:
         else:
             cut = waiting.withColumn("shard", F.lit(0))
         block, fan_in, smallest = self.block, self.fan_in, self.smallest
-        names = [c.split()[0] for c in JOURNAL.split(", ")]
-
-        def levels(pdf: pd.DataFrame) -> pd.DataFrame:
-            store = pdf["store_id"].iloc[0]
-            runs = [Run(*map(int, r[:4]), bool(r[4]), r[0] < 0 and not r[4]) for r in zip(*(pdf[c] for c in ("run_id", "bytes", "entries", "level", "original")))]
-            if pd.isna(store):
-                rows = [(0, None, r.id, r.id, r.id, r.bytes, r.entries, r.level, r.original, r.made) for r in runs]
-            else:
-                rows = merge_levels(runs, block, fan_in, smallest)
-            out = pd.DataFrame([(None if pd.isna(store) else int(store), *r) for r in rows], columns=names)
-            return out.astype({"store_id": "Int64", "txn_id": "Int64"})
-
-        cut.select(*[c.split()[0] for c in RUN.split(", ")], "shard").groupBy("store_id", "shard").applyInPandas(levels, JOURNAL).write.mode(
-            "overwrite"
-        ).parquet(f"{self.path}/{folder}")
+
+        def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = [c.split()[0] for c in JOURNAL.split(", ")]
+            types = [{"int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[c.split()[1]] for c in JOURNAL.split(", ")]
+            for batch in batches:
+                out = []
+                for store, held in zip(*(c.to_pylist() for c in batch.columns)):
+                    runs = [Run(*x.values(), x["id"] < 0 and not x["original"]) for x in held]
+                    if store is None:
+                        rows = [(0, None, r.id, r.id, r.id, r.bytes, r.entries, r.level, r.original, r.made) for r in runs]
+                    else:
+                        rows = merge_levels(runs, block, fan_in, smallest)
+                    out += [(store, *r) for r in rows]
+                columns = list(zip(*out)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+        # metadata of at most about SHARD runs a row
+        run = F.struct(F.col("run_id").alias("id"), "bytes", "entries", "level", "original")
+        held = cut.groupBy("store_id", "shard").agg(F.collect_list(run).alias("held")).select("store_id", "held")
+        held.mapInArrow(levels, JOURNAL).write.mode("overwrite").parquet(f"{self.path}/{folder}")
 
     # -- the journal
 
