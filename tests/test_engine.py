@@ -52,7 +52,7 @@ def test_recovery_and_a_bad_tail(spark, tmp_path):
     s = Store.open(spark, c)
     assert s.get(b"survives") == b"restart"
     missing(s, b"gone")
-    assert s.wal_verify() == {"segments": 1, "records": 3, "truncated": 1, "last_seqno": 3}
+    assert s.wal_verify() == {"segments": 1, "records": 3, "truncated": 1, "last_seqno": 3, "gap": False}
     s.put(b"later", b"1")
     s.close()
     assert Store.open(spark, c).get(b"later") == b"1"
@@ -163,7 +163,9 @@ def test_shell(spark, tmp_path):
     assert run("kv get --key k1") == ["v1"] and run("kv get --key none")[0].startswith("NotFound")
     assert run("kv flush-now")[0].startswith("1 ") and run("kv flush-now") == ["nothing to flush"]
     assert run("kv list-sst")[0].startswith("id=1") and "intact=true" in run("kv sst-info --filename 000001.sst")[1]
+    assert run("kv sst-info --filename 000001.sst")[2:] == ["block 0: size=64, Checksum OK"]
     assert run("kv manifest-info")[0] == "1" and run("kv version-info")[0] == "epoch: 1"
+    assert {"block_cache_misses=0", "blooms_checked=0", "disk_block_reads=0"} <= set(run("kv stats"))
     assert "sst_live=1" in run("kv stats") and run("kv other") == [] and run("") == []
     assert run("kv del --key k1") == ["ok"] and run("kv get --key k1")[0].startswith("NotFound")
     assert run("kv close") == ["ok"] and sh.done
@@ -189,3 +191,65 @@ def test_size_tier_falls_back_to_levels():
     runs = [{"id": i, "size": 10**i, "level": i % 2} for i in range(1, 6)]
     assert [r["id"] for r in pick_size_tier(runs, 3, 2)] == [4, 2, 5]
     assert pick_size_tier(runs[:2], 3, 2) == []
+
+
+def test_counters_of_reads(spark, tmp_path):
+    s = Store.open(spark, config(tmp_path, memtable_max_bytes=90, block_size=90))
+    for k, v in ((b"a1", b"1"), (b"a9", b"2"), (b"a3", b"3"), (b"a7", b"4")):
+        s.put(k, v)
+    s.flush()
+    assert s.get(b"a1") == b"1" and s.get(b"a1") == b"1" and s.get(b"a7") == b"4"
+    missing(s, b"a5")
+    missing(s, b"zz")
+    n = s.stats()
+    assert n["block_cache_hits"] >= 1 and n["block_cache_misses"] == n["disk_block_reads"] >= 2
+    assert n["blooms_checked"] >= 3 and n["blooms_negative"] >= 1 and n["runs_pruned"] >= len(s.runs)
+    off = Store.open(spark, config(tmp_path, cache_index_blocks=False))
+    assert off.get(b"a1") == off.get(b"a1") == b"1" and off.stats()["disk_block_reads"] == 2 and off.stats()["block_cache_hits"] == 0
+
+
+def test_a_damaged_block_is_told(spark, tmp_path):
+    s = Store.open(spark, config(tmp_path, memtable_max_bytes=200, block_size=120))
+    for i in range(6):
+        s.put(b"k%d" % i, b"v" * 20)
+    s.flush()
+    run = s.list_sst()[-1]
+    info = s.sst_info(f"{run['id']:06d}.sst")
+    assert info["intact"] and len(info["block_sizes"]) == info["blocks"] == len(info["checksums"]) and all(info["checksums"])
+    folder = f"file://{tmp_path}/store/runs/{run['id']:06d}"
+    rows = [(r.key, r.seq_no, bytearray(b"x" * 20) if bytes(r.key) == bytes.fromhex(run["max_key"]) else r.value, r.tombstone) for r in spark.read.parquet(folder).collect()]
+    spark.createDataFrame(rows, "key binary, seq_no bigint, value binary, tombstone boolean").write.mode("overwrite").parquet(folder)
+    info = s.sst_info(f"{run['id']:06d}.sst")
+    assert not info["intact"] and info["checksums"][-1] is False and all(info["checksums"][:-1])
+    run["min_seq_no"] = 0
+    s.manifest.commit(s.epoch + 1, {"runs": s.runs})
+    with pytest.raises(M.CorruptionDetected):
+        Store.open(spark, config(tmp_path))
+
+
+def test_recovery_cuts_runs(spark, tmp_path):
+    s = Store.open(spark, config(tmp_path))
+    for i in range(7):
+        s.put(b"k%d" % i, b"v%d" % i)
+    s = Store.open(spark, config(tmp_path, memtable_max_bytes=90))
+    # as when written: a table of 90 bytes takes two entries of 45
+    assert [r["entry_count"] for r in s.runs] == [2, 2, 2] and set(s.active) == {b"k6"} and s.stats()["last_seqno"] == 7
+    again = Store.open(spark, config(tmp_path, memtable_max_bytes=90))
+    assert all(again.get(b"k%d" % i) == b"v%d" % i for i in range(7)) and len(again.runs) == 3
+
+
+def test_grouped_log_writes_and_stops(spark, tmp_path):
+    c = config(tmp_path, wal_fsync_every_n=3, memtable_max_bytes=90, l0_compaction_trigger=50, l0_stop_writes=3)
+    s = Store.open(spark, c)
+    for i in range(9):
+        s.put(b"k%d" % i, b"v%d" % i)
+    assert sum(r["level"] == 0 for r in s.runs) <= 4 and any(r["level"] == 1 for r in s.runs)
+    s.close()
+    s = Store.open(spark, c)
+    assert all(s.get(b"k%d" % i) == b"v%d" % i for i in range(9))
+    s.interval = 0.0
+    s.put(b"last", b"1")
+    assert s.compact_all() >= 0 and s.get(b"k0") == b"v0"
+    s.config.max_merge_entries = 1
+    with pytest.raises(M.InvalidArgument):
+        s._merge(s.runs[:1] * 2)

@@ -249,3 +249,13 @@ def test_stream_equals_batch(spark):
 
     d = "/root/testdata/sf0.001"
     assert as_dict(QUERIES["x4_streaming_state"](spark, d)) == as_dict(QUERIES["q01_latest_state_users"](spark, d))
+
+
+def test_work_folders_end_with_their_scope(spark):
+    from tidelog.storage import workspace
+
+    with workspace.scope(spark):
+        df = workspace.materialise(spark.range(5), "scoped")
+        path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert df.count() == 5 and workspace.folder_bytes(spark, path) > 0
+    assert workspace.folder_bytes(spark, path) == 0 and not workspace._scopes

@@ -88,6 +88,7 @@ class Shell:
             raise InvalidArgument("the store is open")
         path = given.get("config") or (self.default_config if os.path.exists(self.default_config) else None)
         self.store = Store.open(self.spark, Config.load(path))
+        self.store.interval = 5.0
         return ["ok"]
 
     def do_put(self, given: dict) -> list[str]:
@@ -123,7 +124,10 @@ class Shell:
         if "filename" not in given:
             raise InvalidArgument("--filename is missing")
         info = self.store.sst_info(given["filename"])
-        return [_run_line(info), f"blocks={info['blocks']}, dataBytes={info['data_bytes']}, intact={str(info['intact']).lower()}"]
+        lines = [_run_line(info), f"blocks={info['blocks']}, dataBytes={info['data_bytes']}, intact={str(info['intact']).lower()}"]
+        for no, (size, good) in enumerate(zip(info["block_sizes"] or [], info["checksums"] or [])):
+            lines.append(f"block {no}: size={size}, Checksum {'OK' if good else 'BAD'}")
+        return lines
 
     def do_manifest_info(self, given: dict) -> list[str]:
         info = self.store.manifest_info()

@@ -65,6 +65,7 @@ class Config:
     compaction_io_mb_per_s: int = 0
     l0_compaction_trigger: int = 8
     l0_stop_writes: int = 20
+    max_merge_entries: int = 2147483647  # of all inputs of a merge
 
     @classmethod
     def load(cls, path: str | None = None) -> Config:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tidelog.functions.checksum import crc32c_many
 from tidelog.model import RUN_FOOTER, RUN_HEADER, WAL_HEADER, CorruptionDetected
 from tidelog.operators import runs as R
+from tidelog.operators.bloom import BASE_1, BASE_2, SHIFT
 from tidelog.operators import wal as W
 
 # The two file headers.
@@ -105,29 +106,35 @@ def wal_segments(log: DataFrame, roll_size: int) -> DataFrame:
 # -- run files
 
 
+def filter_positions(key: bytes, m: int, hash_count: int) -> list[int]:
+    h = [0, 0]
+    for i, base in enumerate((BASE_1, BASE_2)):
+        for b in key:
+            h[i] = (h[i] * base + (b + SHIFT) % 256) % m
+    return [(h[0] + i * max(1, h[1])) % m for i in range(1, hash_count + 1)]
+
+
 def filter_bits(keys: list[bytes], bits_per_key: int, hash_count: int) -> bytes:
     out = bytearray(-(-bits_per_key * len(keys) // 8))
-    m = len(out) * 8
     for key in keys:
-        h = [0, 0]
-        for i, base in enumerate((257, 263)):
-            for b in key:
-                h[i] = (h[i] * base + (b + 128) % 256) % m
-        for i in range(1, hash_count + 1):
-            bit = (h[0] + i * max(1, h[1])) % m
+        for bit in filter_positions(key, len(out) * 8, hash_count):
             out[bit // 8] |= 1 << (bit % 8)
     return bytes(out)
 
 
-def encode_run(entries: list[tuple[bytes, int, bytes | None, bool]], block_size: int = 8192, refresh_n: int = 10, bits_per_key: int = 10, hash_count: int = 7) -> bytes:
-    """A run file of (key, number, value, tombstone) entries in key order."""
-    packed = R.pack_blocks(((len(k), len(v or b"")) for k, _, v, _ in entries), block_size, refresh_n)
+def may_have(bits: bytes, key: bytes, hash_count: int) -> bool:
+    return all(bits[bit // 8] >> (bit % 8) & 1 for bit in filter_positions(key, len(bits) * 8, hash_count))
+
+
+def packed_blocks(entries: list[tuple[bytes, int, bytes | None, bool]], block_size: int, refresh_n: int) -> list[tuple[list, bytes]]:
+    """(entries, content without checksum) of each block of a run, by the exact packing rule."""
+    places = R.pack_blocks(((len(k), len(v or b"")) for k, _, v, _ in entries), block_size, refresh_n)
     blocks: list[list] = []
-    for entry, block in zip(entries, packed):
+    for entry, block in zip(entries, places):
         if block == len(blocks):
             blocks.append([])
         blocks[-1].append(entry)
-    out, index = bytearray(RUN_MAGIC), bytearray()
+    out = []
     for block in blocks:
         body, restarts = bytearray(), bytearray()
         for i, (k, seq, v, dead) in enumerate(block):
@@ -137,8 +144,17 @@ def encode_run(entries: list[tuple[bytes, int, bytes | None, bool]], block_size:
             body += struct.pack(">i", len(k)) + k + struct.pack(">i", len(v)) + v + struct.pack(">qb", seq, int(dead))
         end = len(body)
         body += struct.pack(">i", -(-len(block) // refresh_n)) + restarts + struct.pack(">i", end)
+        out.append((block, bytes(body)))
+    return out
+
+
+def encode_run(entries: list[tuple[bytes, int, bytes | None, bool]], block_size: int = 8192, refresh_n: int = 10, bits_per_key: int = 10, hash_count: int = 7) -> bytes:
+    """A run file of (key, number, value, tombstone) entries in key order."""
+    out, index = bytearray(RUN_MAGIC), bytearray()
+    blocks = packed_blocks(entries, block_size, refresh_n)
+    for (block, body), crc in zip(blocks, crc32c_many([b for _, b in blocks])):
         index += struct.pack(">i", len(block[0][0])) + block[0][0] + struct.pack(">q", len(out))
-        out += body + struct.pack(">I", int(crc32c_many([bytes(body)])[0]))
+        out += body + struct.pack(">I", int(crc))
     bloom = filter_bits([e[0] for e in entries], bits_per_key, hash_count)
     at = len(out)
     return bytes(out + index + bloom + struct.pack(">qiqi", at, len(blocks), at + len(index), len(bloom)))

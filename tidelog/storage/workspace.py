@@ -3,6 +3,9 @@
 A work folder lies under ``spark.checkpoint.dir``. Only where that setting is
 missing and the session is local (tests), a temporary folder of the machine is
 used; on a cluster a missing setting is an error.
+
+Results are read from work folders when they are asked for, so these stay until the program
+ends, or to the end of the innermost ``scope`` in which they were made.
 """
 
 from __future__ import annotations
@@ -11,11 +14,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_made: list = []
 _local_base: list[str] = []
+_scopes: list[list[str]] = []
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -52,10 +57,25 @@ def _clean(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the work folders made inside at the end: for long sessions, around a query
+    together with the writing or collecting of its result."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _clean(spark, path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder path for one run; it is removed when the program ends."""
+    """A fresh folder path for one run; see the module text for its end."""
     path = f"{shared_base(spark)}/tidelog/{name}-{uuid.uuid4().hex}"
-    atexit.register(_clean, spark, path)
+    if _scopes:
+        _scopes[-1].append(path)
+    else:
+        atexit.register(_clean, spark, path)
     return path
 
 
