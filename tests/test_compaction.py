@@ -47,13 +47,20 @@ def held_after(c):
     return {(r.out_run_id, r.store_id, r.key, r.seq_no): r.value for r in c.rewritten().collect()}
 
 
-def wanted(entries, final, live):
-    want = {}
+def check_entries(c, entries, final, live, once=True):
+    """Every entry of the merged runs is in an output of one of its runs, with a value if
+    any copy has one, and there is nothing else; ``once``: in one output only."""
+    got, want, outs_of = held_after(c), {}, {}
     for run, store, key, value, seq, _ in entries:
         if run in live and final.get(run, run) != run:
-            k = (final[run], store, key, seq)
+            k = (store, key, seq)
             want[k] = max([v for v in (want.get(k), value) if v is not None], default=None)
-    return want
+            outs_of.setdefault(k, set()).add(final[run])
+    assert {k[1:] for k in got} == set(want)
+    for k, outs_ in outs_of.items():
+        held = [v for g, v in got.items() if g[1:] == k]
+        assert {g[0] for g in got if g[1:] == k} <= outs_ and (len(held) == 1 or not once)
+        assert max([v for v in held if v is not None], default=None) == want[k]
 
 
 @pytest.mark.parametrize("shard", [10_000, 5])
@@ -73,7 +80,8 @@ def test_a_generation(spark, tmp_path, monkeypatch, shard):
     # no scope keeps two runs below a block, and every output is one file
     below = [next(iter(store_of[o])) for o, n in size.items() if n < 4096]
     assert len(below) == len(set(below))
-    assert held_after(c) == wanted(entries, final, set(small)) and {r.out_run_id: r.bytes for r in c.outputs().collect()} == {o: n for o, n in size.items() if o < 0}
+    check_entries(c, entries, final, set(small))
+    assert {r.out_run_id: r.bytes for r in c.outputs().collect()} == {o: n for o, n in size.items() if o < 0}
     files = list((tmp_path / "c/data/000001").glob("out_run_id=*"))
     assert {int(f.name[11:]) for f in files} == {k[0] for k in held_after(c)} and all(len(list(f.glob("*.parquet"))) == 1 for f in files)
     # nothing new, nothing done
@@ -104,7 +112,8 @@ def test_a_second_generation_takes_only_new_runs(spark, tmp_path):
     store_of = {r[1]: r[0] for r in runs + more}
     assert {store_of[r] for r in changed} <= {1} and after[300] == 300
     small = {r[1] for r in runs + more if r[3] and r[3] < 4096 and not r[6]}
-    assert set(after) == small and held_after(c) == wanted(entries + added, after, small)
+    assert set(after) == small
+    check_entries(c, entries + added, after, small, once=False)
     assert [g["generation"] for g in c.store.read()["done"]] == [1, 2]
 
 

@@ -21,10 +21,10 @@ the shards leave meets in further rounds, so no task holds more.
 Defined results: a listing is published if its file name, without folder, blanks and
 case, ends in ``.sst``; other listings count for nothing but ``removed_at``. Sizes and
 counts that are null, zero or negative say nothing. A run without a usable size is not
-small and is never merged; nor is one without a scope. Entries of one run with equal key and
-sequence number are copies: within one output they become one entry that has each field if
-any copy has it (of different ones the greatest); a stand-in for a type or writer only
-remains where no copy names one. Null run ids are ignored; empty tables give empty plans;
+small and is never merged; nor is one without a scope. Entries of one scope with equal key and
+sequence number are copies: in the outputs of a generation they become one entry that has
+each field if any copy has it (of different ones the greatest); a stand-in for a type or
+writer only remains where no copy names one. Null run ids are ignored; empty tables give empty plans;
 other columns are ignored.
 """
 
@@ -302,9 +302,10 @@ class Compactor:
         return self
 
     def _rewrite(self, moves: DataFrame, entries: DataFrame, folder: str) -> None:
-        """One sorted file per output, with the entries of its inputs and no others. An
-        output is of about a block, so it is never too much for a task; copies are combined
-        before they are brought together."""
+        """One sorted file per output, with the entries of its inputs and no others; an entry
+        that inputs of several outputs have goes to the first of these. An output is of about
+        a block, so it is never too much for a task; copies are combined before they are
+        brought together."""
         columns = ["store_id", "key", "seq_no", *FIELDS]
         absent = [F.lit(None).cast(t).alias(c) for c, t in FIELDS.items() if c not in entries.columns]
         source = entries.select("run_id", *[c for c in columns if c in entries.columns], *absent)
@@ -317,7 +318,7 @@ class Compactor:
         label = lambda c: F.concat(F.when(known(c), "1").otherwise("0"), F.col(c))
         best = lambda c: F.max(label(c)).substr(F.lit(2), F.lit(1 << 30)) if c in ("value_type", "writer") else F.max(c)
         (
-            placed.groupBy("out_run_id", "store_id", "key", "seq_no").agg(*[best(c).alias(c) for c in FIELDS])
+            placed.groupBy("store_id", "key", "seq_no").agg(F.min("out_run_id").alias("out_run_id"), *[best(c).alias(c) for c in FIELDS])
             .repartition("out_run_id").sortWithinPartitions("out_run_id", "store_id", "key", F.desc("seq_no"))
             .write.mode("overwrite").partitionBy("out_run_id").parquet(f"{self.path}/{folder}")
         )

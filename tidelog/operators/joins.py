@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidelog.storage.workspace import folder_bytes, new_folder
 
-#: Largest written size, in bytes, of a side that is broadcast.
+#: Largest written size, in bytes, of a side that is broadcast. It is written plainly, without
+#: compression or dictionaries, so the size is about that of the rows in memory.
 BROADCAST_BYTES = 8 << 20
 
 
@@ -17,7 +18,7 @@ def measured(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """``df`` written to a work folder, and the bytes that it takes there."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
     return spark.read.schema(df.schema).parquet(path), folder_bytes(spark, path)
 
 

@@ -125,6 +125,21 @@ def q07_validate_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.validate(events_shard(spark, sf_dir), 6, 12)
 
 
+@query(f"""with {_SHARD}, d as (select case seq_no % 11 when 0 then null when 1 then '' else key end as key,
+    case seq_no % 11 when 2 then null when 3 then concat(value, value, value) else value end as value, tombstone from l),
+  s as (select case when key is null then 'null_key' when octet_length(encode(key)) = 0 then 'empty_key'
+  when octet_length(encode(key)) > 6 then 'key_too_long' when tombstone then 'ok' when value is null then 'null_value'
+  when octet_length(encode(value)) > 12 then 'value_too_long' else 'ok' end as status from d)
+  select status, count(*) as n from s group by status""")
+def q07_validate_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every kind of bad mutation among them."""
+    kind = F.col("seq_no") % 11
+    log = events_shard(spark, sf_dir).withColumn("key", F.when(kind == 1, "").when(kind != 0, F.col("key"))).withColumn(
+        "value", F.when(kind == 3, F.concat("value", "value", "value")).when(kind != 2, F.col("value"))
+    )
+    return state.validate(log, 6, 12)
+
+
 @query(f"""with {_SHARD}, {_FLUSHED}, {_META}, top as (select max(run_id) as last from q),
   a as (select key, octet_length(encode(key)) as k, coalesce(octet_length(encode(value)), 0) as v from e, top where run_id = last)
   select (select max(seq_no) from l) as last_seqno, (select count(*) from a) as active_entries,

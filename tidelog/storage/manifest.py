@@ -3,7 +3,8 @@
 Version ``n`` of a manifest is the file ``_manifest/<n>.json``. It is written
 under a temporary name and renamed without overwriting, so a reader sees either
 the whole new version or the old one, and of two writers of one version only one
-succeeds. Data files that no manifest names are orphans of failed runs.
+succeeds; this asks for a file system whose rename is atomic (HDFS or a local one; not a
+plain object store). The file is synced before it is renamed. Data files that no manifest names are orphans of failed runs.
 """
 
 from __future__ import annotations
@@ -59,6 +60,7 @@ class ManifestStore:
         body = {**content, "version": version}
         out = fs.create(tmp, False)
         out.write(bytearray(json.dumps(body, sort_keys=True).encode()))
+        out.hsync()
         out.close()
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
             final.toUri() if final.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration()
