@@ -1,4 +1,5 @@
 import random
+import uuid
 
 import pytest
 
@@ -180,3 +181,48 @@ def test_levels():
                 size[r[4]] = size.get(r[4], 0) + r[5]
         assert sum(size.values()) == sum(sizes) and sum(n < 4096 for n in size.values()) <= 1
         assert len(size) <= sum(sizes) // 4096 + 1
+
+
+def sent_by_stages(spark, act):
+    """Bytes of the largest results of stages that ran in ``act``."""
+    context, tracker = spark.sparkContext._jsc.sc(), spark.sparkContext.statusTracker()
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    act()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    context.listenerBus().waitUntilEmpty(30_000)
+    ran = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return max(context.statusStore().lastStageAttempt(s).resultSize() for s in ran)
+
+
+def test_the_driver_holds_no_list_of_outputs(spark, tmp_path):
+    def compacted(n):
+        runs = C.resolve_runs(listings(spark, [(i % 5, i, f"{i:06d}.sst", 4000, 1, 0, False) for i in range(2 * n)]))
+        entries = spark.createDataFrame([(i, i, i % 5, f"k{i}", "v", i, False, 0) for i in range(2 * n)], ENTRY)
+        c = C.Compactor(spark, f"file://{tmp_path}/{n}")
+        sent = sent_by_stages(spark, lambda: c.compact(runs, entries))
+        assert len(list((tmp_path / f"{n}/data/000001").glob("out_run_id=*/*.parquet"))) == c.rewritten().select("out_run_id").distinct().count() == n
+        assert c.rewritten().count() == 2 * n
+        return sent, len(c.rewritten().inputFiles())
+
+    few, many = compacted(20), compacted(600)
+    assert many[0] < few[0] + 20_000
+    assert many[1] <= 4
+
+
+def test_a_lost_file_is_an_error(spark, tmp_path):
+    _, _, resolved, e = fixture(spark, 20)
+    c = C.Compactor(spark, f"file://{tmp_path}/c c").compact(resolved, e)
+    next((tmp_path / "c c/data/000001").glob("*/*.parquet")).unlink()
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        c.rewritten().count()
+
+
+def test_files_of_outputs_in_several_batches(tmp_path):
+    pa = C.pa
+    rows = [(1, "a", i, i, False, "v", None, "w", out) for i, out in enumerate([-9, -9, -9, -5, -3, -3])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*part)) or [()] * 9, C._arrow(C.ENTRIES))], schema=C._arrow(C.ENTRIES)) for part in (rows[:2], [], rows[2:5], rows[5:])]
+    named = list(C.write_files(f"file://{tmp_path}", iter(batches)))
+    assert [(r["out_run_id"], r["rows"]) for b in named for r in b.to_pylist()] == [(-9, 3), (-5, 1), (-3, 2)]
+    got = [tuple(r.values()) for b in C.read_files(f"file://{tmp_path}", iter(named)) for r in b.to_pylist()]
+    assert got == rows and len(list(tmp_path.glob("*/*.parquet"))) == 3
