@@ -166,3 +166,34 @@ def test_a_bundle_is_taken_whole(spark):
 def test_empty(spark):
     bundle = Bundle("a", ("a",), F.col("a").isNotNull())
     assert survivors(frame(spark, []), KEYS, [bundle], TRUST, "entry_id", depends=[("a", "a")]).count() == 0
+
+
+def test_without_dependencies_every_group_is_searched(spark, monkeypatch):
+    """The sources come from the search, not from the root; a bundle that the best rows lack
+    and one that no row has too."""
+    rows = random_rows(5) + [(1000 + i, 3, "deep", 100 + i, 0, None, None, None) for i in range(50)] + [(2000, 3, "deep", 1, 0, None, "u", "1")]
+    bundles = [Bundle("a", ("a",), F.col("a").isNotNull()), Bundle("b", ("b",), F.col("b").isNotNull()), Bundle("c", ("c",), known("c"))]
+    want = {}
+    for key in {(r[1], r[2]) for r in rows}:
+        group = sorted((r for r in rows if (r[1], r[2]) == key), key=lambda r: (r[3], r[4], r[0]), reverse=True)
+        pick = lambda ok: next((r[0] for r in group if ok(r)), 0)
+        want[key] = (pick(lambda r: r[5] is not None), pick(lambda r: r[6] is not None), pick(lambda r: r[7] == "1"))
+    for width in (1, 8):
+        found = survivors(frame(spark, rows), KEYS, bundles, TRUST, "entry_id", width=width, values=False)
+        assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r.store_id, r.key): (r.a_entry_id, r.b_entry_id, r.c_entry_id) for r in found.collect()} == want
+    assert want[3, "deep"] == (0, 2000, 2000)
+
+
+def test_the_search_without_dependencies(monkeypatch):
+    seen = []
+    real = S._search
+    monkeypatch.setattr(S, "_search", lambda *a: seen.append(a) or real(*a))
+    assert S.free_choice(["a", "b", "c"], (3, 0, 1), False) == [1, None, 1]
+    assert S.free_choice(["a", "b", "c"], (3, 0, 1), True) == [1, None, 1]
+    assert S.free_choice(["a"], (0,), True) == [None]
+    assert [len(a[0]) for a in seen] == [4, 6, 0]
+    # a choice that the bound doesn't prove is an error
+    monkeypatch.setattr(S, "_search", lambda *a: ({"a": 1}, False))
+    with pytest.raises(RuntimeError, match="open"):
+        S.free_choice(["a"], (1,), True)

@@ -38,9 +38,10 @@ TRUST = ("seq_no", "level", "entry_id")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources of the survivors' fields. No field depends on another here, so the bound
-    is reached at the root of every group and the search ends there."""
-    bundles = [Bundle(n, (n,), c) for n, c in _present().items()]
+    """The sources of the survivors' fields, by the search of every group. No bundle depends
+    on another here, so its first way down reaches the bound."""
+    fields = {"value": ("value", "tombstone")}
+    bundles = [Bundle(n, fields.get(n, (n,)), c) for n, c in _present().items()]
     found = survivors(_ranked_entries(spark, sf_dir), ["store_id", "key"], bundles, TRUST, "entry_id", values=False)
     return found.where("n > 1").select("store_id", "key", "entry_id", "value_entry_id", "value_type_entry_id", "writer_entry_id")
 

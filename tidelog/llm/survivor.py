@@ -13,9 +13,13 @@ The search is branch and bound, for all groups at once:
 - Root: the relaxation without dependencies, the best candidate of each bundle by itself,
   is an upper bound of every choice. It comes from one aggregation that combines on the map
   side, so a group with a third of all rows sends one row per map task. A root that keeps
-  the dependencies is optimal and ends the search of its group; without dependencies that
-  is every group. A root whose dependent values come from one row keeps them; only the rows
-  of the other groups are looked at again.
+  the dependencies is optimal and ends the search of its group. A root whose dependent values
+  come from one row keeps them; only the rows of the other groups are looked at again.
+- Without dependencies every group is searched beside its root: a bundle's candidates are the
+  rows that have it among the ``width`` best of the group, or the root's where none of these
+  has it. The first way down takes the best of each bundle and reaches the bound, which cuts
+  all others and proves the choice, whatever rows there are beyond the width. Copies of a
+  value count as candidates of their own here: they come after it, and nothing asks for them.
 - Branches: of the groups whose root breaks a dependency, the ``width`` best candidates of
   each dependent bundle and the pairs that stand together among these are brought to one
   task, ranks only: a group of any size sends a bounded number of rows, which each map
@@ -38,6 +42,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -89,7 +94,11 @@ def survivors(
     top = root(rows, keys, bundles, trust, values or bool(depends))
     if depends:
         top = _searched(materialise(top, "roots"), rows, keys, bundles, trust, id_col, depends, width)
-    source = lambda b: F.coalesce(F.col(f"b_{b.name}.{id_col}"), F.lit(0).cast("bigint")).alias(f"{b.name}_{id_col}")
+        chosen = lambda b: F.col(f"b_{b.name}.{id_col}")
+    else:
+        top = _searched_freely(top, rows, keys, bundles, trust, id_col, width)
+        chosen = lambda b: F.col(f"s_{b.name}")
+    source = lambda b: F.coalesce(chosen(b), F.lit(0).cast("bigint")).alias(f"{b.name}_{id_col}")
     return top.select(
         *keys, "n", F.col(f"first.{id_col}").alias(id_col), *[source(b) for b in bundles],
         *[F.col(f"b_{b.name}.v_{f}").alias(f) for b in bundles for f in b.fields if values],
@@ -146,6 +155,55 @@ def _searched(top: DataFrame, rows: DataFrame, keys: list[str], bundles, trust,
     return joined.select(top.columns)
 
 
+def _searched_freely(top: DataFrame, rows: DataFrame, keys: list[str], bundles, trust, id_col: str, width: int) -> DataFrame:
+    """The roots with ``s_<bundle>``, the id of the row that the search without dependencies
+    takes for it, null for one left empty."""
+    names = [b.name for b in bundles]
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in trust]))
+    marks = [F.coalesce(b.present, F.lit(False)).alias(f"_has_{b.name}") for b in bundles]
+    near = rows.select(*keys, *trust, *marks).withColumn("_at", at).where(F.col("_at") <= width)
+    held = F.sort_array(F.collect_list(F.struct("_at", F.col(id_col).alias("_id"), *[f"_has_{n}" for n in names])))
+    both = top.join(near.groupBy(*keys).agg(held.alias("_near")), keys).select(*top.columns, "_near")
+    place = [top.columns.index(f"b_{n}") for n in names]
+    n_at, all_columns = top.columns.index("n"), len(top.columns)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        choice = lru_cache(1 << 16)(lambda counts, more: free_choice(names, counts, more))
+        for batch in batches:
+            lists = batch.column(all_columns)
+            ends = lists.value_lengths().to_pylist()
+            _, ids, *has = (c.to_pylist() for c in lists.flatten().flatten())
+            roots = [batch.column(i).field(id_col).to_pylist() for i in place]
+            made, start = [], 0
+            for g, (length, n) in enumerate(zip(ends, batch.column(n_at).to_pylist())):
+                end = start + length
+                found = [[ids[i] for i in range(start, end) if h[i]] or [r[g]] * (r[g] is not None) for h, r in zip(has, roots)]
+                picks = choice(tuple(map(len, found)), n > length)
+                taken = [f[p - 1] if p else None for f, p in zip(found, picks)]
+                if taken != [r[g] for r in roots]:
+                    raise RuntimeError(f"the search took {taken}, below the bound")
+                made.append(taken)
+                start = end
+            chosen = [pa.array(c, pa.int64()) for c in list(zip(*made)) or [()] * len(names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:all_columns], *chosen], names=[*batch.schema.names[:all_columns], *[f"s_{x}" for x in names]])
+
+    schema = both.select(*top.columns).schema
+    for n in names:
+        schema = schema.add(f"s_{n}", "long")
+    return both.mapInArrow(solve, schema)
+
+
+def free_choice(names: list[str], counts: tuple[int, ...], more: bool) -> list[int | None]:
+    """Branch and bound over one group without dependencies, with so many candidates of each
+    bundle and, if ``more``, unseen ones behind them; raises if the bound doesn't prove it."""
+    held = [(n, rank, 0, ()) for n, count in zip(names, counts) for rank in range(1, count + 1)]
+    held += [(f"+{n}", count + 1, 0, ()) for n, count in zip(names, counts) if more and count]
+    taken, proven = _search(held, names, [], min((c for c in counts if c), default=1))
+    if not proven:
+        raise RuntimeError(f"the bound leaves {counts} open")
+    return [taken[n] for n in names]
+
+
 def _values(near: DataFrame, keys: list[str], b: Bundle, trust) -> DataFrame:
     """A bundle's distinct values in each group, each with the trust of its best row."""
     return near.where(f"_has_{b.name}").groupBy(*keys, *[F.col(f).alias(f"v_{f}") for f in b.fields]).agg(
