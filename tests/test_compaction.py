@@ -226,3 +226,23 @@ def test_files_of_outputs_in_several_batches(tmp_path):
     assert [(r["out_run_id"], r["rows"]) for b in named for r in b.to_pylist()] == [(-9, 3), (-5, 1), (-3, 2)]
     got = [tuple(r.values()) for b in C.read_files(f"file://{tmp_path}", iter(named)) for r in b.to_pylist()]
     assert got == rows and len(list(tmp_path.glob("*/*.parquet"))) == 3
+
+
+def test_entries_of_other_runs_are_dropped_before_the_shuffle(spark, tmp_path, monkeypatch):
+    """Where the targets are too large to be broadcast."""
+    from tidelog.operators import joins as J
+
+    runs, entries, resolved, e = fixture(spark)
+    whole = C.Compactor(spark, f"file://{tmp_path}/a").compact(resolved, e)
+    shuffled = []
+    real = J.sift
+    monkeypatch.setattr(J, "sift", lambda big, small, on: shuffled.append(real(big, small, on)) or shuffled[-1])
+    monkeypatch.setattr(C, "lookup_join", lambda *a, **k: J.lookup_join(*a, **{**k, "limit": 0}))
+    apart = C.Compactor(spark, f"file://{tmp_path}/b").compact(resolved, e)
+    assert held_after(apart) == held_after(whole) and held_after(whole)
+    moved = {r for r, o in outs(whole).items() if r != o}
+    # few others are let through by chance
+    assert moved <= {r.run_id for r in shuffled[0].select("run_id").collect()} < {r[0] for r in entries}
+    ids = spark.range(1000).withColumnRenamed("id", "k")
+    assert J.lookup_join(ids, ids.where("k % 7 = 0"), ["k"], "left_semi", spread="k", limit=0, sifted=True).count() == 143
+    assert J.sift(ids, ids.select(C.F.col("k").cast("int")), ["k"]).count() == 1000
